@@ -56,9 +56,9 @@ def mix_sources(docs: DataFrame, size_col: str, *, source_col: str = "source", i
     whole = Window.partitionBy()
     level = (F.floor(F.sum("__sum").over(whole) * share) - F.coalesce(F.sum("__cap").over(before), F.lit(0))) / (F.sum("__w").over(whole) - F.coalesce(F.sum("__w").over(before), F.lit(0.0)))
     sources = pinned(sources.withColumns({"__level": level, "__budget": F.floor(F.sum("__sum").over(whole) * share).cast("long")}))
-    facts = sources.agg(F.count(F.lit(1)).alias("n"), F.max("__budget").alias("budget"), F.min(F.when(F.col("__level") <= F.col("__cap") / F.col("__w"), F.col("__level"))).alias("level"), F.max(F.col("__cap") / F.col("__w")).alias("last")).first()
+    facts = sources.agg(F.count(F.lit(1)).alias("n"), F.max("__budget").alias("budget"), F.min(F.when(F.col("__level") <= F.col("__cap") / F.col("__w"), F.struct((F.col("__cap") / F.col("__w")).alias("dry"), "__rank", "__level"))).alias("first"), F.max(F.col("__cap") / F.col("__w")).alias("last")).first()
     budget, last = facts["budget"] or 0, facts["last"] or 0.0
-    level = last if facts["level"] is None else facts["level"]
+    level = last if facts["first"] is None else facts["first"]["__level"]
     target = F.least(F.col("__cap").cast("double"), F.col("__w") * F.lit(float(level)))
     sources = sources.withColumn("__target", target).select(F.col("__src").alias("__name"), "__rank", "__sum", "__w", "__target", F.greatest(F.ceil(F.col("__n") / SLICE_ROWS), F.lit(1)).alias("__slices"))
 
