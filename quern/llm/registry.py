@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sharding
+from . import decontam, line_dedup, mixing, sharding, token_output
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontam.op1_decontamination,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op6_token_output": token_output.op6_token_output,
         "op7_sharding": sharding.op7_sharding,
         "op9_mixing": mixing.op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL}
+    return {"op1_decontamination": decontam.SQL, "op3_line_dedup": line_dedup.SQL}
