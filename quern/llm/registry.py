@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, mixing, sharding, token_output
+from . import decontam, line_dedup, mixing, quality, sharding, token_output
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontam.op1_decontamination,
+        "op2_quality_rules": quality.op2_quality_rules,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op6_token_output": token_output.op6_token_output,
         "op7_sharding": sharding.op7_sharding,
