@@ -34,7 +34,8 @@ UPPER = class_table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_distinct_words", "n_stutter"]
 BASE = COUNTS[:5]
-RATES = ["word_length", "symbols", "dup_lines", "repeats", "upper", "marks", "distinct", "stutter"]
+#: Repeated windows are left to the base rule, which judges them by itself.
+RATES = ["word_length", "symbols", "dup_lines", "upper", "marks", "distinct", "stutter"]
 
 
 def _repeats(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +92,7 @@ def rates(s: dict[str, np.ndarray]) -> np.ndarray:
     w, c, lines = np.maximum(s["n_words"], 1.0), np.maximum(s["word_chars"], 1.0), np.maximum(s["n_lines"], 1.0)
     # distinct words fall off with length in any text; against the square root of the length they don't
     distinct = np.log((s["n_distinct_words"] + 1.0) / w**0.9)
-    return np.column_stack([s["word_chars"] / w, s["n_symbols"] / w, s["n_dup_lines"] / lines, s["n_repeat_words"] / w, s["n_upper"] / c, s["n_marks"] / w, distinct, s["n_stutter"] / w])
+    return np.column_stack([s["word_chars"] / w, s["n_symbols"] / w, s["n_dup_lines"] / lines, s["n_upper"] / c, s["n_marks"] / w, distinct, s["n_stutter"] / w])
 
 
 def _unseen(n: np.ndarray | float) -> np.ndarray:
