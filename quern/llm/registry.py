@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, line_dedup, mixing, quality, sharding, token_output
+from . import decontam, jaccard_join, langid, line_dedup, mixing, quality, sharding, token_output
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_language_id": langid.op4_language_id,
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_token_output": token_output.op6_token_output,
         "op7_sharding": sharding.op7_sharding,
         "op9_mixing": mixing.op9_mixing,
