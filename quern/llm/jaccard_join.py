@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import pinned, small, stored, table, without
+from .streams import whole_groups
 from .textscan import ALNUM, grams, mix, pieces, raw, word_hashes, words
 
 SIMILARITY, SHINGLE = 0.8, 5
@@ -125,27 +126,6 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(child.view(np.int64)), batch.column("__rep").take(pa.array(rows))], ["node", "__rep"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Sorted batches as tables that hold whole groups of equal keys, with where the groups begin (and the end)."""
-    rest = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        t = t.combine_chunks()
-        cut = np.zeros(len(t), bool)
-        cut[0] = True
-        for k in keys:
-            c = t.column(k).combine_chunks()
-            cut[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
-        begin = np.flatnonzero(cut)
-        if len(begin) > 1:
-            yield t.slice(0, begin[-1]).combine_chunks().to_batches()[0], begin
-        rest = t.slice(begin[-1])
-    if rest is not None:
-        yield rest.combine_chunks().to_batches()[0], np.array([0, len(rest)])
-
-
 def _tree(similar: np.ndarray) -> list[tuple[int, int]]:
     """Edges that join what a symmetric matrix joins, one fewer than members a component."""
     n = len(similar)
@@ -166,7 +146,7 @@ def _tree(similar: np.ndarray) -> list[tuple[int, int]]:
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within small nodes: those of a spanning forest over the pairs with enough shared tokens."""
-    for rows, begin in _groups(batches, ["node"]):
+    for rows, begin in whole_groups(batches, ["node"]):
         sig, reps = _tokens(rows.column("__sig")), rows.column("__rep")
         leader = np.repeat(begin[:-1], np.diff(begin))
         near = (sig == sig[leader]).sum(1) >= PROPOSED
@@ -216,7 +196,7 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, begin in _groups(batches, ["component", "i", "j"]):
+        for rows, begin in whole_groups(batches, ["component", "i", "j"]):
             reps, blobs = rows.column("__rep").to_pylist(), rows.column("set").to_pylist()
             own, i, j = (rows.column(c).to_numpy() for c in ("block", "i", "j"))
             a, b, links = [], [], []

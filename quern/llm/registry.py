@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard_join, langid, line_dedup, mixing, quality, sharding, token_output
+from . import decontam, jaccard_join, langid, line_dedup, mixing, quality, sharding, substring_arrays, token_output
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_token_output": token_output.op6_token_output,
         "op7_sharding": sharding.op7_sharding,
         "op9_mixing": mixing.op9_mixing,
+        "op10_suffix_array_dedup": substring_arrays.op10_suffix_array_dedup,
     }
 
 
