@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard_join, langid, line_dedup, mixing, quality, sharding, substring_arrays, token_output
+from . import decontam, jaccard_join, langid, line_dedup, mixing, quality, sharding, substring_arrays, substring_windows, token_output
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_token_output": token_output.op6_token_output,
         "op7_sharding": sharding.op7_sharding,
+        "op8_substring_dedup": substring_windows.op8_substring_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_suffix_array_dedup": substring_arrays.op10_suffix_array_dedup,
     }

@@ -12,10 +12,12 @@ encoded once per worker and looked up afterwards. The table of stretches is empt
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from .textscan import pieces
 REMEMBERED = 1_000_000
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+#: Latin letters, each lower-cased to one letter, with at most one mark behind: these are one pre-token, or two.
+PLAIN = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([.,;:!?]?)").fullmatch
 
 #: Settings of Spark's Parquet writer.
 LAYOUT = {
@@ -52,24 +56,45 @@ class Stretches:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.empty()
 
     def empty(self) -> None:
         self.at: dict[str, int] = {"": 0}
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.begin, self.count, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
+        self.letters: dict[str, list[int]] = {}
+        self.marks: dict[str, list[int]] = {"": []}
+
+    def learn_letters(self, new: list[str]) -> None:
+        """Ids of words that are one pre-token each, encoded many in a line; each word's last id is one that ends words."""
+        lines = [new[lo : lo + 500] for lo in range(0, len(new), 500)]
+        for part, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = e.ids
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(part):
+                self.letters.update((w, ids[a:b]) for w, a, b in zip(part, [0, *stops], stops))
+            else:
+                self.letters.update((w, x.ids) for w, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
 
     def learn(self, new: list[str]) -> None:
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            split = [m and (m[1].lower(), m[2]) for m in map(PLAIN, part)]
+            self.learn_letters([w for w in {x[0] for x in split if x} if w not in self.letters])
+            for mark in {x[1] for x in split if x} - self.marks.keys():
+                self.marks[mark] = self.tokenizer.encode(mark, add_special_tokens=False).ids
+            other = iter(self.tokenizer.encode_batch_fast([w for w, x in zip(part, split, strict=True) if not x], add_special_tokens=False))
+            found = [self.letters[x[0]] + self.marks[x[1]] if x else next(other).ids for x in split]
             counts = np.fromiter(map(len, found), np.int64, len(found))
             total = int(counts.sum())
             while self.used + total > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
             while self.known + len(part) > len(self.begin):
                 self.begin, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.count))
-            self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
+            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
             here = slice(self.known, self.known + len(part))
             self.count[here] = counts
             self.begin[here] = self.used + np.cumsum(counts) - counts
@@ -82,7 +107,7 @@ class Stretches:
         if self.known > REMEMBERED:
             self.empty()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(dict.fromkeys(w for x in split for w in x if w not in self.at))
+        new = [w for w in set().union(*split) if w not in self.at]
         if new:
             self.learn(new)
         at = self.at
