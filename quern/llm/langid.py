@@ -114,6 +114,9 @@ class Models:
         self.unknown = np.full(n_langs, -np.log(alphabet))
         self.grams: dict[int, Sorted] = {}
         self.contexts: dict[int, Sorted] = {}
+        self.limits, self.sharpness = np.full(n_langs, np.inf), 10.0
+        if not n_langs:
+            return
         for k in range(1, ORDER + 1):
             every = np.unique(np.concatenate([g for g, _ in by_order[k].values()]), axis=0)
             hashes, ctx = matrix_hash(every), matrix_hash(every[:, :-1])
@@ -141,7 +144,6 @@ class Models:
                 logs[:, i] = np.log(p)
             self.grams[k] = Sorted(hashes, logs.astype(np.float32))
             self.contexts[k] = Sorted(contexts, np.log(weight).astype(np.float32))
-        self.limits, self.sharpness = np.full(n_langs, np.inf), 10.0
 
     def entropies(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy a character in each language, and the number of letters, of each text."""
@@ -186,9 +188,9 @@ class Models:
 
     def predict(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy and whether the text is rejected."""
-        entropies, letters = self.entropies(texts)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
+        entropies, letters = self.entropies(texts)
         best = entropies.argmin(1)
         rows = np.arange(len(texts))
         z = -self.sharpness * entropies
