@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import replace
-from typing import Any
+from typing import Any, TypeVar
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -18,7 +18,9 @@ from .lang import options
 from .operators.aggregation import run_stages
 from .operators.collections import Nested, validate
 from .operators.predicates import Frame
+from .shapes import to_object
 
+T = TypeVar("T")
 Query = str | Mapping[str, Any] | QueryBuilder | QueryIntent | None
 
 
@@ -63,6 +65,10 @@ class Selector:
 
     get_many_dicts = query_as_dicts
 
+    def query_as_objects(self, shape: type[T], query: Query = None, base_df: DataFrame | None = None) -> list[T]:
+        """Rows as objects of a dataclass; fields that weren't selected are UNSET."""
+        return [to_object(shape, r) for r in self.query_as_dicts(query, base_df)]
+
     def get_one(self, query: Query = None, base_df: DataFrame | None = None) -> Row | None:
         rows = self.page(replace(self.intent(query), top=1), base_df).collect()
         return rows[0] if rows else None

@@ -1,8 +1,6 @@
 """Meaning on small tables with nulls, missing targets and empty collections, which the driver's tables don't have."""
 
-from __future__ import annotations
-
-from dataclasses import replace
+from dataclasses import dataclass, field, replace
 from decimal import Decimal
 
 import pytest
@@ -14,6 +12,7 @@ from quern.errors import FieldNotFoundError, InvalidFieldError, InvalidValueErro
 from quern.fluent import Expand, Field, OrderBy, QueryBuilder
 from quern.lang import ast as A
 from quern.selector import Selector
+from quern.shapes import UNSET, dict_type, to_json
 from quern.streaming.live import stream_query
 
 
@@ -227,3 +226,33 @@ def test_stream(spark, tmp_path):
     assert sorted(r["n"] for r in spark.table("live_rows").collect()) == [1, 4, 7]
     with pytest.raises(QueryError):
         stream_query(stream, "$orderby=n")
+
+
+@dataclass
+class Tag:
+    label: str
+
+
+@dataclass
+class Target:
+    code: str
+    parent_id: int | None
+
+
+@dataclass
+class Item:
+    _excluded_fields = ("rating",)
+    id: int
+    name: str | None
+    rating: Decimal | None
+    target: Target | None
+    tags: list[Tag] | None
+    n: int = field(default=0, metadata={"write_only": True})
+
+
+def test_objects(catalog):
+    found = Selector(catalog, "item").query_as_objects(Item, "$select=id,rating,n&$expand=tags,target($select=code)&$orderby=id&$top=2")
+    assert found[0] == Item(1, UNSET, Decimal("4.50"), Target("T", UNSET), [Tag("A"), Tag("Z")], 7)
+    assert found[1].target is None and found[1].name is UNSET
+    assert to_json(found) == [{"id": 1, "target": {"code": "T"}, "tags": [{"label": "A"}, {"label": "Z"}]}, {"id": 2, "target": None, "tags": [{"label": "Z"}]}]
+    assert dict_type(Item).__annotations__["tags"].__args__[0].__name__ == "TagDict" and not dict_type(Item).__required_keys__
