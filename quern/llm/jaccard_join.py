@@ -145,7 +145,8 @@ def _tree(similar: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within small nodes: those of a spanning forest over the pairs with enough shared tokens."""
+    """Links within small nodes: those of a spanning forest over the pairs with enough shared tokens, from the least member first, so that nodes that hold
+    the same texts give the same links."""
     for rows, begin in whole_groups(batches, ["node"]):
         sig, reps = _tokens(rows.column("__sig")), rows.column("__rep")
         leader = np.repeat(begin[:-1], np.diff(begin))
@@ -226,7 +227,7 @@ def _verify(similarity: float):
 
 def _grouped(df: DataFrame, *keys: str) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, "__rep")
 
 
 def propose_links(reps: DataFrame) -> DataFrame:
