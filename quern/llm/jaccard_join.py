@@ -267,15 +267,18 @@ def join_near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str
     """
     docs = without(docs, *(c for c in ("class_id", "n_links", "n_copies", "is_first") if c not in (text_col, id_col)))
     keep = [c for c in docs.columns if keep is None or c in keep]
-    base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    signed = stored(base.mapInArrow(_sign(["__id"]), "__id long, __rep binary, __sig binary"))
-    reps = stored(signed.where("__rep is not null").groupBy("__rep").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("n_copies"), F.first("__sig").alias("__sig")))
+    base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).withColumn("__th", F.xxhash64(F.lit(505), "__text"))
+    signed = stored(base.mapInArrow(_sign(["__id", "__th"]), "__id long, __th long, __rep binary, __sig binary"))
+    # a class is known by the row of least id, and that by id and text, as ids may be null or repeat
+    least_row = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__th").alias("th")))
+    reps = signed.where("__rep is not null").groupBy("__rep").agg(least_row.alias("m"), F.count(F.lit(1)).alias("n_copies"), F.first("__sig").alias("__sig"))
+    reps = stored(reps.select("__rep", F.col("m.id").alias("__first"), F.col("m.th").alias("__text_hash"), "n_copies", "__sig"))
     proposed = propose_links(reps.select("__rep", "__sig"))
     groups = components(proposed)
 
-    members = groups.select(F.col("node").alias("__rep"), "component").join(reps.select("__rep", "__first"), "__rep")
+    members = groups.select(F.col("node").alias("__rep"), "component").join(reps.select("__rep", "__first", "__text_hash"), "__rep")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    sets = base.join(members, F.col("__id").eqNullSafe(F.col("__first"))).select("component", "__rep", "__text").mapInArrow(_sets, "component binary, __rep binary, set binary").dropDuplicates(["__rep"])
+    sets = base.join(members, (F.col("__th") == F.col("__text_hash")) & F.col("__id").eqNullSafe(F.col("__first"))).select("component", "__rep", "__text").mapInArrow(_sets, "component binary, __rep binary, set binary").dropDuplicates(["__rep"])
     blocks = F.ceil(F.col("n") / BLOCK)
     sets = sets.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("__rep"), blocks))
     pairs = sets.select("component", "__rep", "set", "block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o")).select("component", "__rep", "set", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
@@ -283,24 +286,25 @@ def join_near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str
     classes = components(checked.where("b is not null")).select(F.col("node").alias("__rep"), "component")
     links = checked.groupBy(F.col("a").alias("__rep")).agg(F.sum("links").alias("n_links"))
 
-    facts = reps.select("__rep", "__first", "n_copies").join(classes, "__rep", "left").join(links, "__rep", "left").withColumn("component", F.coalesce("component", "__rep"))
+    facts = reps.select("__rep", "__first", "__text_hash", "n_copies").join(classes, "__rep", "left").join(links, "__rep", "left").withColumn("component", F.coalesce("component", "__rep"))
     least = facts.groupBy("component").agg(F.min("__first").alias("class_id"), F.min(F.struct(F.col("__first").isNull(), F.col("__first"), F.col("__rep"))).getField("__rep").alias("__top"))
-    facts = facts.join(least, "component").select("__rep", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("__top") == F.col("__rep")).alias("__leads"), "__first")
+    facts = facts.join(least, "component").select("__rep", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("__top") == F.col("__rep")).alias("__leads"), "__first", "__text_hash")
     return _attach(docs, signed, facts, keep, id_col, text_col)
 
 
 def _attach(docs: DataFrame, signed: DataFrame, facts: DataFrame, keep: list[str], id_col: str, text_col: str) -> DataFrame:
     """The facts of each row's word sequence, and for one row of a class is_first."""
     if keep == [id_col]:
-        rows = signed.select(F.col("__id").cast(docs.schema[id_col].dataType).alias(id_col), "__id", "__rep")
+        rows = signed.select(F.col("__id").cast(docs.schema[id_col].dataType).alias(id_col), "__id", "__th", "__rep")
     else:
         schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
-        inputs = docs.select("*", F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-        rows = inputs.mapInArrow(_name([*docs.columns, "__id"]), f"{schema}, __id long, __rep binary")
+        inputs = docs.select("*", F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).withColumn("__th", F.xxhash64(F.lit(505), "__text"))
+        rows = inputs.mapInArrow(_name([*docs.columns, "__id", "__th"]), f"{schema}, __id long, __th long, __rep binary")
     rows = rows.join(facts, "__rep", "left")
     # of several rows of the same words and least id the first in an order of their own is kept
-    ties = signed.join(facts.where("__leads"), "__rep").where(F.col("__id").eqNullSafe(F.col("__first"))).groupBy("__rep").agg(F.count(F.lit(1)).alias("__ties")).where("__ties > 1")
-    rows = rows.withColumn("is_first", F.col("__rep").isNull() | (F.col("__leads") & F.col("__id").eqNullSafe(F.col("__first"))))
+    same_row = F.col("__id").eqNullSafe(F.col("__first")) & (F.col("__th") == F.col("__text_hash"))
+    ties = signed.join(facts.where("__leads"), "__rep").where(same_row).groupBy("__rep").agg(F.count(F.lit(1)).alias("__ties")).where("__ties > 1")
+    rows = rows.withColumn("is_first", F.col("__rep").isNull() | (F.col("__leads") & same_row))
     if ties.limit(1).count():
         from pyspark.sql import Window
 
