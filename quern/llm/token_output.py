@@ -29,7 +29,7 @@ from .shared import shared_dir, small, table
 from .textscan import pieces
 
 #: Stretches that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Latin letters, each lower-cased to one letter, with at most one mark behind: these are one pre-token, or two.
@@ -65,42 +65,52 @@ class Stretches:
         self.at: dict[str, int] = {"": 0}
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.begin, self.count, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
-        self.letters: dict[str, list[int]] = {}
-        self.marks: dict[str, list[int]] = {"": []}
-
-    def learn_letters(self, new: list[str]) -> None:
-        """Ids of words that are one pre-token each, encoded many in a line; each word's last id is one that ends words."""
-        lines = [new[lo : lo + 500] for lo in range(0, len(new), 500)]
-        for part, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ids = e.ids
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) == len(part):
-                self.letters.update((w, ids[a:b]) for w, a, b in zip(part, [0, *stops], stops))
+
+    def add(self, part: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        total = len(ids)
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while self.known + len(part) > len(self.begin):
+            self.begin, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.count))
+        self.ids[self.used : self.used + total] = ids
+        here = slice(self.known, self.known + len(part))
+        self.count[here] = counts
+        self.begin[here] = self.used + np.cumsum(counts) - counts
+        self.at.update(zip(part, range(self.known, self.known + len(part)), strict=True))
+        self.used += total
+        self.known += len(part)
+
+    def add_each(self, part: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        self.add(part, np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def add_words(self, part: list[str]) -> None:
+        """Words that are one pre-token each, encoded many in a line; each word's last id is one that ends words."""
+        lines = [part[lo : lo + 500] for lo in range(0, len(part), 500)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(line):
+                self.add(line, ids, np.diff(stops, prepend=0))
             else:
-                self.letters.update((w, x.ids) for w, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+                self.add_each(line)
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known stretches end to end, and their counts."""
+        counts = self.count[which]
+        return self.ids[np.arange(int(counts.sum())) + np.repeat(self.begin[which] - (np.cumsum(counts) - counts), counts)], counts
 
     def learn(self, new: list[str]) -> None:
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
-            split = [m and (m[1].lower(), m[2]) for m in map(PLAIN, part)]
-            self.learn_letters([w for w in {x[0] for x in split if x} if w not in self.letters])
-            for mark in {x[1] for x in split if x} - self.marks.keys():
-                self.marks[mark] = self.tokenizer.encode(mark, add_special_tokens=False).ids
-            other = iter(self.tokenizer.encode_batch_fast([w for w, x in zip(part, split, strict=True) if not x], add_special_tokens=False))
-            found = [self.letters[x[0]] + self.marks[x[1]] if x else next(other).ids for x in split]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            total = int(counts.sum())
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            while self.known + len(part) > len(self.begin):
-                self.begin, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.count))
-            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
-            here = slice(self.known, self.known + len(part))
-            self.count[here] = counts
-            self.begin[here] = self.used + np.cumsum(counts) - counts
-            self.at.update(zip(part, range(self.known, self.known + len(part)), strict=True))
-            self.used += total
-            self.known += len(part)
+            split = list(map(PLAIN, part))
+            self.add_each([w for w, m in zip(part, split, strict=True) if not m])
+            pairs = [(m[1].lower(), m[2]) for m in split if m]
+            self.add_words([w for w in {w for w, _ in pairs} if w not in self.at])
+            self.add_each([m for m in {m for _, m in pairs} if m not in self.at])
+            rest = [(m[0], self.at[w], self.at[x]) for m, (w, x) in zip(filter(None, split), pairs, strict=True) if m[0] not in self.at]
+            ids, counts = self.gather(np.array([r[1:] for r in rest], np.int64).reshape(-1))
+            self.add([r[0] for r in rest], ids, counts.reshape(-1, 2).sum(1))
 
     def encode(self, texts: Sequence[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's end id included, and how many each text has."""
@@ -114,10 +124,8 @@ class Stretches:
         which = [np.fromiter(map(at.__getitem__, x), np.int64, len(x)) for x in split]
         n_words = np.fromiter(map(len, which), np.int64, len(which))
         which = np.concatenate(which) if which else np.zeros(0, np.int64)
-        counts = self.count[which]
+        ids, counts = self.gather(which)
         ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(self.begin[which] - (ends - counts), counts)]
         n = np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n_words)))])
         return np.insert(ids, np.cumsum(n), end_id), n + 1
 
