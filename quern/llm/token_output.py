@@ -29,7 +29,7 @@ from .shared import shared_dir, small, table
 from .textscan import pieces
 
 #: Stretches that a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Latin letters, each lower-cased to one letter, with at most one mark behind: these are one pre-token, or two.
@@ -49,6 +49,18 @@ LAYOUT = {
 }
 
 
+def folded(text: str) -> str:
+    """The text in lower case, as the tokenizer's normalizer makes it anyway, where that is one letter for one (Latin-1) and can't make a special token's name."""
+    if "<|" in text:
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class Stretches:
     """Token ids of stretches of text without blanks, remembered up to a bound."""
 
@@ -56,9 +68,8 @@ class Stretches:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelling = {c: spell(chr(c))[0][0] for c in range(0x80, 0x250) if PLAIN(chr(c))}
         self.empty()
 
     def empty(self) -> None:
@@ -85,15 +96,10 @@ class Stretches:
         self.add(part, np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)))
 
     def add_words(self, part: list[str]) -> None:
-        """Words that are one pre-token each, encoded many in a line; each word's last id is one that ends words."""
-        lines = [part[lo : lo + 500] for lo in range(0, len(part), 500)]
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.int32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(line):
-                self.add(line, ids, np.diff(stops, prepend=0))
-            else:
-                self.add_each(line)
+        """Words that are one pre-token each and normalised: they go straight to the tokenizer's model, in its spelling of bytes."""
+        tokenize, spelling = self.tokenizer.model.tokenize, self.spelling
+        found = [[x.id for x in tokenize(w if w.isascii() else w.translate(spelling))] for w in part]
+        self.add(part, np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)))
 
     def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of known stretches end to end, and their counts."""
@@ -116,7 +122,7 @@ class Stretches:
         """All ids, each text's end id included, and how many each text has."""
         if self.known > REMEMBERED:
             self.empty()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [folded(t).replace("\n", " ").split(" ") for t in texts]
         new = [w for w in set().union(*split) if w not in self.at]
         if new:
             self.learn(new)
