@@ -48,17 +48,15 @@ def characters(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return code, np.maximum(np.cumsum(code == PAD) // (ORDER - 1) - 1, 0)
 
 
-def gram_hashes(code: np.ndarray) -> list[np.ndarray]:
-    """For each length up to ORDER, the hash of the n-gram that ends at each position; wrong where it would begin before the start."""
-    c = code.astype(np.uint64)
-    out = [np.zeros(len(c), np.uint64)]
-    for k in range(1, ORDER + 1):
-        h = np.zeros(len(c), np.uint64)
-        for j in range(k - 1, -1, -1):
-            h[j:] = (h[j:] + c[: len(c) - j] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-        out.append(mix(h))
-    return out
+def hashes_at(code: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k characters that end at each of the positions."""
+    h = np.zeros(len(at), np.uint64)
+    for j in range(k - 1, -1, -1):
+        h += code[at - j].astype(np.uint64)
+        h += np.uint64(1)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+    return mix(h)
 
 
 def matrix_hash(grams: np.ndarray) -> np.ndarray:
@@ -148,24 +146,25 @@ class Models:
     def entropies(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy a character in each language, and the number of letters, of each text."""
         code, text = characters(texts)
-        hashes = gram_hashes(code)
         here = np.flatnonzero(code != PAD)
         out = np.zeros((len(here), len(self.langs)), np.float32)
         live = np.arange(len(here))
         for k in range(ORDER, 0, -1):
-            at = self.grams[k].find(hashes[k][here[live]])
+            at = self.grams[k].find(hashes_at(code, here[live], k))
             found = at >= 0
             out[live[found]] += self.grams[k].values[at[found]]
             live = live[~found]
             if not len(live):
                 break
-            ctx = self.contexts[k].find(hashes[k - 1][here[live] - 1] if k > 1 else np.full(len(live), matrix_hash(np.zeros((1, 0)))[0]))
+            ctx = self.contexts[k].find(hashes_at(code, here[live] - 1, k - 1))
             known = ctx >= 0
             out[live[known]] += self.contexts[k].values[ctx[known]]
         out[live] += self.unknown
         owner = text[here]
         n = np.bincount(owner, minlength=len(texts))
-        sums = np.column_stack([np.bincount(owner, out[:, i].astype(float), len(texts)) for i in range(len(self.langs))])
+        sums, full = np.zeros((len(texts), len(self.langs))), n > 0
+        if full.any():
+            sums[full] = np.add.reduceat(out, (np.cumsum(n) - n)[full], axis=0, dtype=np.float64)
         letters = np.bincount(owner, code[here] != BLANK, len(texts)).astype(np.int64)
         return -sums / np.maximum(n, 1)[:, None], letters
 
@@ -208,9 +207,8 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = rows.column("text").to_pylist()
             for lang in sorted(set(langs)):
                 code, _ = characters([t for t, x in zip(texts, langs, strict=True) if x == lang])
-                h = gram_hashes(code)[ORDER]
                 at = np.flatnonzero(code != PAD)
-                _, first, times = np.unique(h[at], return_index=True, return_counts=True)
+                _, first, times = np.unique(hashes_at(code, at, ORDER), return_index=True, return_counts=True)
                 ends = at[first]
                 grams = np.stack([code[ends - j] for j in range(ORDER - 1, -1, -1)], 1).astype("<u4")
                 text = grams.tobytes().decode("utf-32-le", "surrogatepass")
