@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, without
+from .shared import pinned, small, stored, table, without
 from .textscan import mix, pieces
 
 ORDER = 5
@@ -239,7 +239,12 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     """Models from labelled rows; rows without text or language don't count."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "text"))
+    sizes = pinned(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    # a share by hash that holds enough of each language comes first, so that hardly more than the sample is moved; copies count once
+    share = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < 1.5 * fit_docs / F.col("n")
+    rows = rows.join(small(sizes, sizes.count(), 64), "lang").where(share).groupBy("lang", "h").agg(F.first("text").alias("text"))
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= fit_docs)
+    rows = stored(rows.select("lang", "text", "r"))
     counts = rows.where("r % 4 != 0").select("lang", "text").mapInArrow(_counter, "lang string, gram string, n long")
     got = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toArrow()
     langs, grams, n = np.array(got["lang"].to_pylist(), dtype=object), "".join(got["gram"].to_pylist()), np.array(got["n"], dtype=float)
