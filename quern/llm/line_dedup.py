@@ -2,7 +2,7 @@
 
 DataFrame functions only. What is shuffled per line is a pair of hashes, not the line: (line hash, document key) once to count
 documents, and once to find the lines to drop; the texts move at most once, to meet their list of dropped positions. A line that a third of all
-documents share is counted with map-side partial sums, and its join is an equi-join of plain exchanges, which AQE splits when skewed.
+documents share is counted with map-side partial sums, and its occurrences are dealt over SALTS joins with copies of its hash.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .shared import row_key, table, without
 
+#: Parts that the occurrences of one line are dealt to.
+SALTS = 16
+
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -35,7 +38,9 @@ def drop_common_lines(docs: DataFrame, *, text_col: str = "text", id_col: str =
     lines = base.select("__k1", "__k2", F.posexplode(split).alias("__pos", "__line")).select("__k1", "__k2", "__pos", line_key(F.col("__line")).alias("__key"))
     lines = lines.where(F.char_length("__key") >= max(1, min_chars)).select("__k1", "__k2", "__pos", F.xxhash64(F.lit(303), "__key").alias("__h1"), F.xxhash64("__key", F.lit(304)).alias("__h2"))
     common = lines.select("__h1", "__h2", "__k1", "__k2").distinct().groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_docs).select("__h1", "__h2")
-    gone = lines.join(common, ["__h1", "__h2"]).groupBy("__k1", "__k2").agg(F.sort_array(F.collect_set("__pos")).alias("__gone"))
+    common = common.select("__h1", "__h2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt"))
+    salted = lines.withColumn("__salt", F.pmod("__k1", F.lit(SALTS)))
+    gone = salted.join(common, ["__h1", "__h2", "__salt"]).groupBy("__k1", "__k2").agg(F.sort_array(F.collect_set("__pos")).alias("__gone"))
     out = base.join(gone, ["__k1", "__k2"], "left").withColumn("__lines", split)
     none = F.array().cast("array<int>")
     out = out.withColumn("__gone", F.coalesce("__gone", none))
