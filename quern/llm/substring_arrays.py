@@ -166,7 +166,7 @@ def cut_repeats(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     whole = found.where("run_dup").select("rid", (place - F.shiftright("pack", 8).bitwiseAND(F.lit(255))).alias("start"), (place - F.col("pack").bitwiseAND(F.lit(255)) + LENGTH).alias("stop"))
     named = found.where("mixed and rep").groupBy("rid").agg(F.collect_set(F.struct("key", "pack")).alias("anchors"))
     windows = long_texts.join(named, "rid").mapInArrow(_windows, "key long, run long, rid long, pack long")
-    single = equal_neighbours(windows).where("run_dup").select("rid", F.col("pack").alias("start"), (F.col("pack") + LENGTH).alias("stop"))
+    single = equal_neighbours(windows, lean=True).select("rid", F.col("pack").alias("start"), (F.col("pack") + LENGTH).alias("stop"))
     spans = whole.union(single).groupBy("rid").agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_bytes long, n_removed long, removed_spans array<struct<start:long,stop:long>>, kept_bytes binary"])
     joined = rows.join(spans.withColumnRenamed("rid", "__rid"), "__rid", "left").drop("__rid")
