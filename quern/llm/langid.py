@@ -239,11 +239,15 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     """Models from labelled rows; rows without text or language don't count."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "text"))
-    sizes = pinned(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
-    # a share by hash that holds enough of each language comes first, so that hardly more than the sample is moved; copies count once
-    share = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < 1.5 * fit_docs / F.col("n")
-    rows = rows.join(small(sizes, sizes.count(), 64), "lang").where(share).groupBy("lang", "h").agg(F.first("text").alias("text"))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= fit_docs)
+    # the least hashes of each language are found without its texts, copies counting once; then only the sample's texts are moved
+    hashes = stored(rows.select("lang", "h").distinct())
+    sizes = pinned(hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    # of the distinct hashes a share that holds far more than the sample is ranked
+    share = F.shiftright("h", 11) / F.lit(float(1 << 53)) + 0.5 < (2.0 * fit_docs + 1000) / F.col("n")
+    ranked = hashes.join(small(sizes, sizes.count(), 64), "lang").where(share).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= fit_docs)
+    limits = pinned(ranked.groupBy("lang").agg(F.max("h").alias("limit")))
+    rows = rows.join(small(limits, limits.count(), 64), "lang").where(F.col("h") <= F.col("limit")).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     rows = stored(rows.select("lang", "text", "r"))
     counts = rows.where("r % 4 != 0").select("lang", "text").mapInArrow(_counter, "lang string, gram string, n long")
     got = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toArrow()

@@ -198,6 +198,15 @@ def test_language_accuracy_and_odd(spark, odd, none):
     assert {r["lang_pred"] for r in langid.identify_language(odd, langid.fit(none)).collect()} == {"und"}
 
 
+def test_language_fit_counts_copies_once(spark):
+    # nearly all rows are copies of one text; the sample holds all distinct texts nevertheless
+    rows = [(f"nur einmal steht hier {'abcdefghij'[i % 10] * (i + 1)} im satz", "de") for i in range(20)] + [("an english line of text", "en")]
+    docs = spark.createDataFrame(rows + [("immer wieder derselbe text", "de")] * 3000, "text string, lang string")
+    copied, single = langid.fit(docs, fit_docs=30), langid.fit(docs.distinct(), fit_docs=30)
+    assert copied.langs == single.langs == ["de", "en"]
+    assert np.array_equal(copied.grams[langid.ORDER].hashes, single.grams[langid.ORDER].hashes)
+
+
 # 5
 
 
