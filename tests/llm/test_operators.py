@@ -379,6 +379,26 @@ def test_repeated_passages(spark, none, odd):
     assert {x for r in substring_windows.repeated_passages(odd).collect() for x in (r["doc_id"], r["other_id"])} == {4, 5}
 
 
+def test_passages_around_a_frequent_line(spark):
+    # six passages of 50 words, twice each, and forty other texts hold the same line, and the least hashes of the passages are the line's
+    rng = random.Random(9)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    def fits(passage):  # least hashes with the line on the one side, and on the other what surrounds the passage, within 22 shingles
+        g, _, _ = jaccard_join.shingle_sets(pa.array([" ".join(passage)]))
+        places = [int(np.argmin(substring_windows.mix(g ^ seed))) for seed in substring_windows._SEEDS[:3]]
+        return all(10 <= p < 22 for p in places[::2]) and 24 <= places[1] < 36
+
+    passage, rows = next(p for p in (fresh(50) for _ in range(5000)) if fits(p)), []
+    line = passage[10:40]
+    for passage in [p for p in (fresh(10) + line + fresh(10) for _ in range(300)) if fits(p)][:6]:
+        rows += [(len(rows) + side, " ".join(fresh(60) + passage + fresh(60))) for side in range(2)]
+    assert len(rows) == 12
+    rows += [(100 + i, " ".join(fresh(50) + line + fresh(50))) for i in range(40)]
+    out = substring_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in out} == {(k, k + 1) for k in range(0, 12, 2)}
+
+
 # 9
 
 
