@@ -379,6 +379,10 @@ def test_repeated_passages(spark, none, odd):
     assert {x for r in substring_windows.repeated_passages(odd).collect() for x in (r["doc_id"], r["other_id"])} == {4, 5}
 
 
+def test_passage_functions_for_the_recall():
+    assert substring_windows.MISSED == 0.002 and (1 - substring_windows.SIMILARITY) ** substring_windows.FUNCTIONS <= 0.002 and len(substring_windows._SEEDS) == 4
+
+
 def test_passages_around_a_frequent_line(spark):
     # six passages of 50 words, twice each, and forty other texts hold the same line, and the least hashes of the passages are the line's
     rng = random.Random(9)
