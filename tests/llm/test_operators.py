@@ -403,6 +403,21 @@ def test_passages_around_a_frequent_line(spark):
     assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in out} == {(k, k + 1) for k in range(0, 12, 2)}
 
 
+def test_all_passages_of_a_pair(spark):
+    rng = random.Random(10)
+    fresh = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
+    one, two, grown = fresh(60), fresh(100), fresh(160)
+    rows = [(1, one + fresh(12) + two), (2, one + fresh(12) + two), (3, fresh(20) + grown), (4, grown[:90] + fresh(1) + grown[90:] + fresh(30))]
+    out = substring_windows.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    found = {frozenset(((r["doc_id"], r["start_word"]), (r["other_id"], r["other_start_word"]))): r for r in out}
+    assert found[frozenset(((1, 0), (2, 0)))]["n_words"] == 60 and found[frozenset(((1, 72), (2, 72)))]["n_words"] == 100
+    whole = found[frozenset(((3, 20), (4, 0)))]  # over the inserted word
+    assert {whole["n_words"], whole["other_n_words"]} == {160, 161}
+    a, b = np.arange(300, dtype=np.uint32), np.arange(300, dtype=np.uint32)
+    b[56:72] = np.arange(1000, 1016)
+    assert [p[:2] for p in substring_windows._passages(a[:168], b[:168], 46)] == [(72, 168), (0, 56)]
+
+
 # 9
 
 
