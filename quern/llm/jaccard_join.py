@@ -3,8 +3,8 @@
 Texts of equal words are one class from the start, so copies are never paired. Each class has COORDINATES min-hash tokens of its shingle set. A
 run starts with all classes in one node; a node picks coordinates by a hash of its own name, 1 / similarity of them in expectation, and sends each of its
 classes to the children named by the token there: a shared token keeps two similar sets together. Nodes of at most SMALL classes are compared pair by pair on their
-tokens; larger ones split again. A node still large at DEPTH is a dense group of similar texts: it is cut at random into parts
-of SMALL, each compared with one common member of the node besides, so that neither its pairs nor its rows ever meet in one task.
+tokens; larger ones split again. From DEPTH on, a large node's members are linked to its least member where they are similar to it. If at most BLOCK are not,
+or at LAST, these are compared with all members in blocks of BLOCK, so that every pair is looked at and no task holds all rows; a node with more of them splits again.
 RUNS runs are made side by side; by RUNS >= log(1 - recall) / log(1 - success) for the target recall.
 
 Tokens only propose. The proposed links' components are then compared exactly, all pairs of a component in blocks of BLOCK classes, on the whole shingle sets:
@@ -30,7 +30,7 @@ from .textscan import ALNUM, grams, mix, pieces, raw, word_hashes, words
 
 SIMILARITY, SHINGLE = 0.8, 5
 COORDINATES = 64
-SMALL, DEPTH, BLOCK = 64, 4, 512
+SMALL, DEPTH, LAST, BLOCK = 64, 4, 12, 512
 #: Target recall, and the share of similar pairs that one run is sure to bring into a small node.
 RECALL, SUCCESS = 0.99, 0.25
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SUCCESS))
@@ -126,6 +126,15 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(child.view(np.int64)), batch.column("__rep").take(pa.array(rows))], ["node", "__rep"])
 
 
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each member of a large node shares enough tokens with the node's least member."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        near = (_tokens(batch.column("__sig")) == _tokens(batch.column("lead_sig"))).sum(1) >= PROPOSED
+        yield pa.record_batch([*(batch.column(c) for c in ("node", "__rep", "n", "lead")), pa.array(near)], ["node", "__rep", "n", "lead", "near"])
+
+
 def _tree(similar: np.ndarray) -> list[tuple[int, int]]:
     """Edges that join what a symmetric matrix joins, one fewer than members a component."""
     n = len(similar)
@@ -242,16 +251,26 @@ def propose_links(reps: DataFrame) -> DataFrame:
         few = rows.join(named, "node", "left_anti") if n_large else rows
         few = few.join(counts.where(F.col("n") <= SMALL).select("node"), "node")
         many = rows.join(named, "node").join(reps, "__rep") if n_large else None
+        led = None
         if n_large and depth >= DEPTH:
-            lead = rows.join(named.select("node"), "node").groupBy("node").agg(F.min("__rep").alias("__rep"))
-            parts = F.ceil(F.col("n") / SMALL)
-            chunk = F.pmod(F.xxhash64("node", "__rep"), parts)
-            leads = large.join(lead, "node").select(F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("c"), "node", "__rep")
-            dense = many.select(F.xxhash64("node", chunk).alias("node"), "__rep").union(leads.select(F.xxhash64("node", "c").alias("node"), "__rep")).distinct()
-            few = few.union(dense)
+            lead = many.groupBy("node").agg(F.min(F.struct("__rep", "__sig")).alias("m")).select("node", F.col("m.__rep").alias("lead"), F.col("m.__sig").alias("lead_sig"))
+            led = stored(many.join(small(lead, n_large, 400), "node").select("node", "__rep", "n", "lead", "__sig", "lead_sig").mapInArrow(_led, "node long, __rep binary, n long, lead binary, near boolean"))
+            far = pinned(led.where("not near").groupBy("node").agg(F.count(F.lit(1)).alias("far")))
+            n_far = far.count()
+            ends = far if depth >= LAST else far.where(F.col("far") <= BLOCK)
+            # every member that is not similar to the leader meets all members, block by block
+            last = led.join(small(ends, n_far, 32), "node").withColumns({"cs": F.ceil(F.col("far") / BLOCK), "ks": F.ceil(F.col("n") / BLOCK)})
+            every = last.select("node", "__rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cs") - 1)).alias("c"), F.pmod(F.xxhash64("node", "__rep"), "ks").alias("k"))
+            apart = last.where("not near").select("node", "__rep", F.pmod(F.xxhash64("__rep", "node"), "cs").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ks") - 1)).alias("k"))
+            few = few.union(every.union(apart).select(F.xxhash64("node", "c", "k").alias("node"), "__rep").distinct())
+            more = far.where(F.col("far") > BLOCK).select("node") if depth < LAST else far.select("node").limit(0)
+            n_large = more.count()
+            many = many.join(small(more, n_large, 24), "node") if n_large else None
         links = _grouped(few.join(reps, "__rep").select("node", "__rep", "__sig"), "node").mapInArrow(_propose, "a binary, b binary").distinct()
+        if led is not None:
+            links = links.union(led.where("near and __rep != lead").select(F.col("lead").alias("a"), F.col("__rep").alias("b")).distinct())
         edges = stored(links) if edges is None else edges.union(stored(links))
-        if not n_large or depth >= DEPTH:
+        if not n_large:
             return edges.distinct()
         rows = stored(many.select("node", "__rep", "__sig").mapInArrow(_split, "node long, __rep binary"))
         depth += 1

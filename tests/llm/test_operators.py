@@ -258,6 +258,21 @@ def test_jaccard_join(spark, monkeypatch):
     assert Counter(r["class_id"] for r in out.values() if r["is_first"]) == Counter({c for c, _ in want.values()})
 
 
+def test_links_in_large_nodes_of_strangers(spark, monkeypatch):
+    # tokens from three values each: strangers share a third, too few to be linked, and nodes stay large nevertheless
+    rng = np.random.default_rng(3)
+    sig = rng.integers(1, 4, (3000, jaccard_join.COORDINATES)).astype(np.uint32)
+    for k in range(0, 60, 2):
+        sig[k + 1] = sig[k]
+        sig[k + 1, :6] = 9
+    monkeypatch.setattr(jaccard_join, "SMALL", 1)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)  # the largest nodes split again, the others end in blocks
+    reps = spark.createDataFrame([(bytearray(k.to_bytes(16, "big")), bytearray(s.tobytes())) for k, s in enumerate(sig)], "__rep binary, __sig binary")
+    got = {tuple(sorted((int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")))) for r in jaccard_join.propose_links(reps).collect()}
+    alike = np.stack([(sig == s).sum(1) >= jaccard_join.PROPOSED for s in sig])
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(np.triu(alike, 1))), strict=True)) and len(got) >= 30
+
+
 def test_jaccard_join_odd(odd, none):
     out = jaccard_join.join_near_duplicates(odd).collect()
     assert len(out) == odd.count()
