@@ -418,6 +418,17 @@ def test_passages_around_a_frequent_line(spark):
     assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in out} == {(k, k + 1) for k in range(0, 12, 2)}
 
 
+def test_leaders_on_both_sides_of_a_partition_end():
+    w = substring_windows
+    kinds = {"key": pa.int64(), "rid": pa.int64(), "content": pa.int64(), "place": pa.int32(), "first": pa.int32(), "last": pa.int32()}
+    part = lambda rids: pa.record_batch([pa.array([v] * len(rids) if v is not None else rids, t) for v, t in zip((5, None, 7, 20, 0, 45), kinds.values(), strict=True)], list(kinds))
+    heads = [r for rids in ([1, 2], [3, 4]) for b in w._lead(iter([part(rids)])) for r in b.to_pylist() if r["kind"] == 1]
+    assert [r["rid"] for r in heads] == [1, 3]
+    blob = np.arange(46, dtype=np.uint32).tobytes()
+    rows = pa.RecordBatch.from_pylist([{c: r[c] for c in ("key", *w._WINDOW)} | {"i": 0, "j": 0, "block": 0, "before": 20, "shingles": blob} for r in heads])
+    assert [(r["lead_rid"], r["rid"]) for b in w._compare(iter([rows])) for r in b.to_pylist()] == [(1, 3)]
+
+
 def test_all_passages_of_a_pair(spark):
     rng = random.Random(10)
     fresh = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
