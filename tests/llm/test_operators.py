@@ -308,8 +308,14 @@ def test_tokens(spark, odd, none):
         assert (out[i]["start"], out[i]["n_tokens"], out[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     s = token_output.Stretches(public_tokenizers.path(token_output.TOKENIZER))
-    for text in ["it's don't <|endoftext|>x", "é ́a ΣΑΣ Σ", " \t\x0b\xa0 a\x85b\x1c ", "ﬁ ½ 漢字かな İstanbul ẞ!! Ab.", "Å ŉ. Ǆ, ª"]:
+    for text in ["it's don't <|endoftext|>x", "é ́a ΣΑΣ Σ", " \t\x0b\xa0 a\x85b\x1c ", "ﬁ ½ 漢字かな İstanbul ẞ!! Ab.", "Å ŉ. Ǆ, ª", "'s 'S' DON'T,x 12a3 é2! ..'ll", "x\x00y\x7f ×÷ aé×b", "<|ENDOFTEXT|>", "É'é ÉÉ a̐", ""]:
         assert s.encode([text], token_output.END_ID)[0].tolist() == encode(text)
+    rng = random.Random(6)
+    mixed = ["".join(rng.choice(["a", "B", "é", "É", " ", "\n", "'", "s", "1", "²", ".", "-", "ß", "漢", "́", "\xa0", "ll", "İ", "Σ", "<|"]) for _ in range(rng.randrange(30))) for _ in range(500)]
+    ids, n = s.encode(mixed, token_output.END_ID)
+    assert ids.tolist() == [i for t in mixed for i in encode(t)] and n.tolist() == [len(encode(t)) for t in mixed]
+    s.known_settings = False  # as with another tokenizer's file: texts go to it whole
+    assert s.encode(["it's a Tést", None, "x"], 1)[0].tolist() == [*encode("it's a Tést"), 1, *encode("x")]
     rows = token_output.token_digest(odd).collect()
     assert sum(r["n_tokens"] for r in rows) == sum(len(encode(r["text"])) for r in odd.collect())
     ends = {r["start"] + r["n_tokens"] for r in rows}
