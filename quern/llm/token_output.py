@@ -205,7 +205,7 @@ class Stretches:
         found, n_lists = self.lists(pc.if_else(pa.array(named), "", texts) if named.any() else texts, end_id)
         ids = found.values.to_numpy()
         ends = np.asarray(found.offsets)[np.concatenate(([0], np.cumsum(n_lists)))]
-        n = np.diff(ends)
+        n = np.diff(ends).astype(np.int64)
         if named.any():
             own, counts = self.whole(texts.filter(pa.array(named)).to_pylist())
             ids = np.insert(ids, np.repeat(ends[:-1][named], counts), own)
