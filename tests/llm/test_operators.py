@@ -494,22 +494,58 @@ def plain_cut(rows, length=400):
     return sorted(out)
 
 
-def digest(df):
-    out = substring_arrays.cut_repeats(df).select("doc_id", "n_bytes", "n_removed", F.size("removed_spans"), F.sha2("kept_bytes", 256))
-    return sorted(map(tuple, out.collect()))
+def digest(df, **kw):
+    out = substring_arrays.cut_repeats(df, **kw).select("doc_id", "n_bytes", "n_removed", F.size("removed_spans"), F.sha2("kept_bytes", 256))
+    return sorted(map(tuple, out.collect()), key=lambda r: (r[0] is None, r))
 
 
-def test_suffix_array_dedup(spark, none):
+@pytest.fixture(scope="module")
+def repeats():
     rng = random.Random(10)
     fresh = lambda n: "".join(rng.choice("abcdé ñ") for _ in range(n))
-    common, twice = fresh(700), fresh(390)
+    common, twice, line, passage = fresh(700), fresh(390), fresh(150), fresh(250)
     rows = [(i, fresh(rng.randrange(300)) + common[rng.randrange(90) : 700 - rng.randrange(90)] + fresh(rng.randrange(500))) for i in range(12)]
     rows += [(20, twice + fresh(50)), (21, fresh(50) + twice), (22, "z" * 1500), (23, "ab" * 700), (24, None), (25, "")] + [(30 + i, common) for i in range(3)]
     edited = common[:300] + "X" + common[301:]
-    rows += [(40, edited), (41, edited + fresh(10)), (42, common + common)]
-    df = clash(spark.createDataFrame(rows, "doc_id long, text string"), "n_removed")
-    assert digest(df) == plain_cut([(i, (t or "").encode()) for i, t in rows])
+    rows += [(40, edited), (41, edited + fresh(10)), (42, common + common), (43, fresh(40000) + common[:500] + fresh(40000))]
+    rows += [(50 + i, fresh(200) + line + fresh(200)) for i in range(40)]  # a common line, too short to be cut or told
+    held = fresh(300) + passage + fresh(300)
+    return rows + [(90, held), (91, held), (92, fresh(400) + passage + fresh(20)), (93, fresh(9) + passage[:240] + fresh(9))]
+
+
+@pytest.mark.parametrize("bucket", [1 << 20, 50])
+def test_suffix_array_dedup(spark, none, odd, repeats, monkeypatch, bucket):
+    monkeypatch.setattr(substring_arrays, "BUCKET", bucket)  # small ones put many ends into the groups
+    df = clash(spark.createDataFrame(repeats, "doc_id long, text string"), "n_removed", "n_repeated", "mine")
+    assert digest(df) == plain_cut([(i, (t or "").encode()) for i, t in repeats])
+    assert {r["mine"] for r in substring_arrays.cut_repeats(df).collect()} == {"mine"}
     assert substring_arrays.cut_repeats(none).count() == 0
+    rows = odd.collect()
+    plain = Counter(r[1:] for r in plain_cut([(k, (r["text"] or "").encode()) for k, r in enumerate(rows)]))
+    assert Counter(r[1:] for r in digest(odd)) == plain and Counter(r[0] for r in digest(odd)) == Counter(r["doc_id"] for r in rows)
+
+
+def test_passages_that_are_too_short_to_be_cut_are_told(spark, repeats):
+    told = {r["doc_id"]: r["n_repeated"] for r in substring_arrays.cut_repeats(spark.createDataFrame(repeats, "doc_id long, text string")).collect()}
+    rows = [(i, (t or "").encode()) for i, t in repeats]
+    least, sure = substring_arrays.PASSAGE, substring_arrays.PASSAGE + substring_arrays.STEP
+    for (i, _, n_least, *_), (_, _, n_sure, *_) in zip(plain_cut(rows, least), plain_cut(rows, sure), strict=True):
+        assert told[i] <= n_least and (told[i] > 0 or not n_sure), i
+    assert told[92] > 0 and not any(told[50 + i] for i in range(40))
+
+
+def test_texts_move_by_the_join_where_names_are_many(spark, repeats, monkeypatch):
+    df = spark.createDataFrame(repeats, "doc_id long, text string")
+    want = digest(df)
+    monkeypatch.setattr(substring_arrays, "BROADCAST_BYTES", 0)
+    assert digest(df) == want
+
+
+def test_multikey_order():
+    rng = np.random.default_rng(4)
+    columns = [rng.integers(-3, 4, 5000), rng.integers(0, 3, 5000), rng.integers(-(2**62), 2**62, 5000)]
+    assert np.array_equal(substring_arrays.multikey_order(columns, few=4), np.lexsort(columns[::-1]))
+    assert len(substring_arrays.multikey_order([np.zeros(0, np.int64)])) == 0
 
 
 def test_suffix_array_dedup_on_driver_rows(spark):
