@@ -3,8 +3,9 @@
 Texts of equal words are one class from the start, so copies are never paired. Each class has COORDINATES min-hash tokens of its shingle set. A
 run starts with all classes in one node; a node picks coordinates by a hash of its own name, 1 / similarity of them in expectation, and sends each of its
 classes to the children named by the token there: a shared token keeps two similar sets together. Nodes of at most SMALL classes are compared pair by pair on their
-tokens; larger ones split again. From DEPTH on, a large node's members are linked to its least member where they are similar to it. If at most BLOCK are not,
-or at LAST, these are compared with all members in blocks of BLOCK, so that every pair is looked at and no task holds all rows; a node with more of them splits again.
+tokens; larger ones split again. From DEPTH on, a large node's members are linked to its least member, its leader, where they are similar to it. If at most MANY are not,
+or at LAST, these are compared with all members in blocks of MANY, once for all nodes of one leader, so that every pair is looked at and no task holds all rows; a node with
+more of them splits again.
 RUNS runs are made side by side; by RUNS >= log(1 - recall) / log(1 - success) for the target recall.
 
 Tokens only propose. The proposed links' components are then compared exactly, all pairs of a component in blocks of BLOCK classes, on the whole shingle sets:
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from .textscan import ALNUM, grams, mix, pieces, raw, word_hashes, words
 
 SIMILARITY, SHINGLE = 0.8, 5
 COORDINATES = 64
-SMALL, DEPTH, LAST, BLOCK = 64, 4, 12, 512
+SMALL, DEPTH, LAST, MANY, BLOCK = 64, 2, 12, 4096, 512
 #: Target recall, and the share of similar pairs that one run is sure to bring into a small node.
 RECALL, SUCCESS = 0.99, 0.25
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SUCCESS))
@@ -132,7 +134,22 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(batch):
             continue
         near = (_tokens(batch.column("__sig")) == _tokens(batch.column("lead_sig"))).sum(1) >= PROPOSED
-        yield pa.record_batch([*(batch.column(c) for c in ("node", "__rep", "n", "lead")), pa.array(near)], ["node", "__rep", "n", "lead", "near"])
+        yield pa.record_batch([batch.column("lead"), batch.column("__rep"), pa.array(near)], ["lead", "__rep", "near"])
+
+
+def _forest(sig: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join all rows with enough equal tokens, directly or through others, one fewer than members a tree. A row is compared with those that no tree has yet."""
+    left, out = np.arange(len(sig)), []
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            a = todo.pop()
+            near = np.count_nonzero(sig[left] == sig[a], axis=1) >= PROPOSED
+            found = left[near].tolist()
+            left = left[~near]
+            out += [(a, b) for b in found]
+            todo += found
+    return out
 
 
 def _tree(similar: np.ndarray) -> list[tuple[int, int]]:
@@ -163,9 +180,7 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [leader[near]], [np.flatnonzero(near)]
         missed = np.add.reduceat(~near, begin[:-1])
         for i in np.flatnonzero((missed > 1) | ((missed > 0) & (np.diff(begin) > 2))):
-            own = sig[begin[i] : begin[i + 1]]
-            alike = np.stack([(own == s).sum(1) >= PROPOSED for s in own])
-            tree = np.array(_tree(alike), dtype=np.int64).reshape(-1, 2) + begin[i]
+            tree = np.array(_forest(sig[begin[i] : begin[i + 1]]), dtype=np.int64).reshape(-1, 2) + begin[i]
             a.append(tree[:, 0])
             b.append(tree[:, 1])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -194,7 +209,7 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     total, width = int((times > 1).sum()), max(256, (4 << 20) // max(n, 1))
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n))
     for lo in range(0, total, width):
         a, b = np.searchsorted(column, [lo, lo + width])
         m = np.zeros((n, min(width, total - lo)), np.float32)
@@ -205,6 +220,8 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(similarity: float):
+    share = Fraction(similarity).limit_denominator(10_000)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, begin in whole_groups(batches, ["component", "i", "j"]):
             reps, blobs = rows.column("__rep").to_pylist(), rows.column("set").to_pylist()
@@ -216,11 +233,11 @@ def _verify(similarity: float):
                 sets = [np.frombuffer(x, np.uint64) for x in blobs[lo:hi]]
                 if hi - lo == 2:
                     both = len(np.intersect1d(*sets, assume_unique=True))
-                    inter = np.array([[len(sets[0]), both], [both, len(sets[1])]], np.float32)
+                    inter = np.array([[len(sets[0]), both], [both, len(sets[1])]], float)
                 else:
                     inter = _intersections(sets)
                 size = np.diag(inter)
-                near = inter >= similarity * (size[:, None] + size[None, :] - inter) - 1e-4
+                near = inter * share.denominator >= share.numerator * (size[:, None] + size[None, :] - inter)  # whole numbers, below 2**53
                 np.fill_diagonal(near, False)
                 if i[lo] != j[lo]:
                     near &= own[lo:hi][:, None] != own[lo:hi][None, :]
@@ -254,16 +271,19 @@ def propose_links(reps: DataFrame) -> DataFrame:
         led = None
         if n_large and depth >= DEPTH:
             lead = many.groupBy("node").agg(F.min(F.struct("__rep", "__sig")).alias("m")).select("node", F.col("m.__rep").alias("lead"), F.col("m.__sig").alias("lead_sig"))
-            led = stored(many.join(small(lead, n_large, 400), "node").select("node", "__rep", "n", "lead", "__sig", "lead_sig").mapInArrow(_led, "node long, __rep binary, n long, lead binary, near boolean"))
-            far = pinned(led.where("not near").groupBy("node").agg(F.count(F.lit(1)).alias("far")))
-            n_far = far.count()
-            ends = far if depth >= LAST else far.where(F.col("far") <= BLOCK)
+            lead = pinned(lead)
+            # many nodes have the same leader and much the same members: each is compared with it once
+            members = many.join(small(lead, n_large, 400), "node").select("lead", "__rep", "__sig", "lead_sig").dropDuplicates(["lead", "__rep"])
+            led = stored(members.mapInArrow(_led, "lead binary, __rep binary, near boolean"))
+            far = pinned(led.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("near")).alias("far")).where("far > 0"))
+            ends = far if depth >= LAST else far.where(F.col("far") <= MANY)
             # every member that is not similar to the leader meets all members, block by block
-            last = led.join(small(ends, n_far, 32), "node").withColumns({"cs": F.ceil(F.col("far") / BLOCK), "ks": F.ceil(F.col("n") / BLOCK)})
-            every = last.select("node", "__rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cs") - 1)).alias("c"), F.pmod(F.xxhash64("node", "__rep"), "ks").alias("k"))
-            apart = last.where("not near").select("node", "__rep", F.pmod(F.xxhash64("__rep", "node"), "cs").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ks") - 1)).alias("k"))
-            few = few.union(every.union(apart).select(F.xxhash64("node", "c", "k").alias("node"), "__rep").distinct())
-            more = far.where(F.col("far") > BLOCK).select("node") if depth < LAST else far.select("node").limit(0)
+            last = led.join(small(ends, n_large, 64), "lead").withColumns({"cs": F.ceil(F.col("far") / MANY), "ks": F.ceil(F.col("n") / MANY)})
+            every = last.select("lead", "__rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cs") - 1)).alias("c"), F.pmod(F.xxhash64("lead", "__rep"), "ks").alias("k"))
+            apart = last.where("not near").select("lead", "__rep", F.pmod(F.xxhash64("__rep", "lead"), "cs").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ks") - 1)).alias("k"))
+            few = few.union(every.union(apart).select(F.xxhash64("lead", "c", "k").alias("node"), "__rep").distinct())
+            more = far.where(F.col("far") > MANY) if depth < LAST else far.limit(0)
+            more = pinned(lead.join(more, "lead").select("node"))
             n_large = more.count()
             many = many.join(small(more, n_large, 24), "node") if n_large else None
         links = _grouped(few.join(reps, "__rep").select("node", "__rep", "__sig"), "node").mapInArrow(_propose, "a binary, b binary").distinct()

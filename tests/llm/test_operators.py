@@ -252,6 +252,7 @@ def test_jaccard_join(spark, monkeypatch):
     want = plain_classes(rows)
     monkeypatch.setattr(jaccard_join, "SMALL", 8)  # so that the cluster is split, and at last cut into parts
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "MANY", 16)
     df = clash(spark.createDataFrame(rows, "doc_id long, text string"), "class_id", "more")
     out = {r["doc_id"]: r for r in jaccard_join.join_near_duplicates(df).collect()}
     assert {i: (r["class_id"], r["n_links"]) for i, r in out.items()} == want and all(r["more"] == "mine" for r in out.values())
@@ -266,7 +267,7 @@ def test_links_in_large_nodes_of_strangers(spark, monkeypatch):
         sig[k + 1] = sig[k]
         sig[k + 1, :6] = 9
     monkeypatch.setattr(jaccard_join, "SMALL", 1)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)  # the largest nodes split again, the others end in blocks
+    monkeypatch.setattr(jaccard_join, "MANY", 16)  # the largest nodes split again, the others end in blocks
     reps = spark.createDataFrame([(bytearray(k.to_bytes(16, "big")), bytearray(s.tobytes())) for k, s in enumerate(sig)], "__rep binary, __sig binary")
     got = {tuple(sorted((int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")))) for r in jaccard_join.propose_links(reps).collect()}
     alike = np.stack([(sig == s).sum(1) >= jaccard_join.PROPOSED for s in sig])
