@@ -427,13 +427,67 @@ def test_passages_around_a_frequent_line(spark):
 
 def test_leaders_on_both_sides_of_a_partition_end():
     w = substring_windows
-    kinds = {"key": pa.int64(), "rid": pa.int64(), "content": pa.int64(), "place": pa.int32(), "first": pa.int32(), "last": pa.int32()}
-    part = lambda rids: pa.record_batch([pa.array([v] * len(rids) if v is not None else rids, t) for v, t in zip((5, None, 7, 20, 0, 45), kinds.values(), strict=True)], list(kinds))
+    kinds = {"key": pa.int64(), "rid": pa.int64(), "content": pa.int64(), "place": pa.int32(), "before": pa.int8(), "after": pa.int8()}
+    part = lambda rids: pa.record_batch([pa.array([v] * len(rids) if v is not None else rids, t) for v, t in zip((5, None, 7, 20, 20, 25), kinds.values(), strict=True)], list(kinds))
     heads = [r for rids in ([1, 2], [3, 4]) for b in w._lead(iter([part(rids)])) for r in b.to_pylist() if r["kind"] == 1]
     assert [r["rid"] for r in heads] == [1, 3]
-    blob = np.arange(46, dtype=np.uint32).tobytes()
-    rows = pa.RecordBatch.from_pylist([{c: r[c] for c in ("key", *w._WINDOW)} | {"i": 0, "j": 0, "block": 0, "before": 20, "shingles": blob} for r in heads])
-    assert [(r["lead_rid"], r["rid"]) for b in w._compare(iter([rows])) for r in b.to_pylist()] == [(1, 3)]
+    blob = np.arange(46, dtype=np.uint16).tobytes()
+    rows = pa.RecordBatch.from_pylist([{c: r[c] for c in ("key", *w._WINDOW)} | {"i": 0, "j": 0, "block": 0, "shingles": blob} for r in heads])
+    rows = rows.set_column(rows.schema.get_field_index("before"), "before", rows.column("before").cast(pa.int8()))
+    assert [(r["lead_rid"], r["rid"], r["start"], r["stop"], r["similarity"]) for b in w._compare(iter([rows])) for r in b.to_pylist()] == [(1, 3, 0, 45, 1.0)]
+
+
+def plain_links(windows):
+    """Pairs of windows that hold a passage place by place, found by trying all stretches."""
+    w = substring_windows
+    out = set()
+    for i, (ta, ca) in enumerate(windows):
+        for j, (tb, cb) in enumerate(windows[:i]):
+            same = [x is not None and y is not None and x == y for x, y in zip(ca, cb, strict=True)]
+            both = [x is not None and y is not None for x, y in zip(ca, cb, strict=True)]
+            if ta != tb and any(all(both[x:y]) and (m := sum(same[x:y])) >= w.SIMILARITY * (2 * (y - x) - m) for x in range(w._WIDTH) for y in range(x + w._LEAST, w._WIDTH + 1)):
+                out.add((j, i))
+    return out
+
+
+def joined(n, pairs):
+    group = list(range(n))
+    for a, b in pairs:
+        group = [group[a] if g == group[b] else g for g in group]
+    return {frozenset(i for i in range(n) if group[i] == g) for g in group}
+
+
+@pytest.mark.parametrize("few", [1, 100])
+def test_windows_of_a_min_hash_lose_no_link(monkeypatch, few):
+    w = substring_windows
+    monkeypatch.setattr(w, "FEW", few)
+    rng = np.random.default_rng(11)
+    families = [rng.integers(0, 60000, w._WIDTH) for _ in range(5)]
+    windows, records = [], []
+    for k in range(60):
+        before, after = int(rng.integers(0, 46)), 45
+        cells = families[k % 5].copy()
+        for _ in range(rng.integers(0, 4)):
+            at = int(rng.integers(0, w._WIDTH - 5))
+            cells[at : at + 5] = rng.integers(0, 60000, 5)
+        cells[45:75] = families[0][45:75]  # what all of them share is too short for a passage
+        cells[45 - before] = rng.integers(0, 60000)
+        windows.append((k % 50, [None] * (45 - before) + cells[45 - before :].tolist()))
+        records.append({"key": 1, "rid": k % 50, "place": 200 + k, "before": before, "after": after, "block": 0, "i": 0, "j": 0, "shingles": cells[45 - before :].astype(np.uint16).tobytes()})
+    rows = pa.RecordBatch.from_pylist(records)
+    got = [r for b in w._compare(iter([rows])) for r in b.to_pylist()]
+    number = {(r["rid"], r["place"]): k for k, r in enumerate(records)}
+    assert all(r["stop"] - r["start"] + 1 >= 46 and abs(r["similarity"]) >= 0.8 for r in got)
+    want = plain_links(windows)
+    assert len(want) > 50
+    # links are told by texts and places; windows that plain links join are joined by the found ones
+    found = set()
+    for r in got:
+        for i, (t, _) in enumerate(windows):
+            for j, (u, _) in enumerate(windows):
+                if t == r["rid"] and u == r["lead_rid"] and records[i]["place"] - records[j]["place"] == r["start"] - r["lead_start"]:
+                    found.add((min(i, j), max(i, j)))
+    assert len(number) == 60 and joined(60, found) == joined(60, want)
 
 
 def test_all_passages_of_a_pair(spark):
