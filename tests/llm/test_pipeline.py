@@ -44,3 +44,26 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def test_stages_on_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    long_text = " ".join(f"word{i * 7919 % 5003}" for i in range(30000))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, long_text, "en", "a", 9), (3, long_text, "en", "a", 9), (None, "just " + long_text[:900], None, None, 1), (4, " ".join(f"other{i}" for i in range(80)), "en", "b", 1)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{FOLDER}/documents.parquet").schema).withColumns({c: F.lit(c) for c in ("kept", "class_id", "copies", "spans", "a.b")})
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
+        out = stage(spark, docs, FOLDER)
+        if k == len(corpus_pipeline.STAGES) - 1:
+            assert sorted(r["n_tokens"] for r in out.collect())[:2] == [1, 1] and out.count() == len(rows)
+            continue
+        assert out.columns == docs.columns
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert set(got) <= {r[:2] for r in rows} and all(r["kept"] == "kept" and r["a.b"] == "a.b" for r in out.collect())
+        if k == 0:
+            assert not {(1, None), (2, "")} & set(got)
+        elif k == 1:
+            assert sorted(map(repr, got)) == sorted(repr(r[:2]) for r in [*rows[:3], *rows[4:]])
+        elif k == 2:
+            assert len(got) == len(rows)
