@@ -34,7 +34,7 @@ from .shared import shared_dir, small, table
 from .textscan import LOWER, class_table, pieces, raw
 
 #: Runs that a worker remembers, and bytes of text that are encoded together.
-REMEMBERED, PIECE = 1_000_000, 4 << 20
+REMEMBERED, PIECE = 400_000, 4 << 20
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 # The settings of a tokenizer file under which runs stand alone (white space dropped; letters, digits and marks apart; lower case; each word's last token marked).
@@ -238,6 +238,7 @@ def _encoder(tokenizer_path: str, end_id: int):
                     }
                 )
                 place += int(off[-1])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return run
 
