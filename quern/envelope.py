@@ -6,6 +6,7 @@ from typing import Any
 from urllib.parse import urlencode
 
 from .errors import QueryError, SelectorError, TypeMismatchError, UnsupportedFunctionError
+from .fluent import QueryBuilder
 from .intent import MAX_SKIP, MAX_TOP
 from .lang import options
 from .selector import Query, Selector
@@ -24,11 +25,24 @@ def collection(selector: Selector, query: Query = None, *, url: str = "", base_d
     top = min(selector.policy.default_top if intent.top is None else intent.top, selector.policy.max_top)
     following = (intent.skip or 0) + top
     if not intent.apply and 0 < top == len(rows) and following <= MAX_SKIP and (total is None or following < total):
-        given = options.options(query) if query is None or isinstance(query, (str, dict)) else {}
-        out["@odata.nextLink"] = f"{url}/{selector.entity.name}?" + urlencode(given | {"$top": str(top), "$skip": str(following)}, safe="$,/()':")
+        given = _given(query)
+        if given is not None:
+            out["@odata.nextLink"] = f"{url}/{selector.entity.name}?" + urlencode(given | {"$top": str(top), "$skip": str(following)}, safe="$,/()':")
     return out | {"value": rows}
 
 
+def _given(query: Query) -> dict[str, str] | None:
+    """The query's options as text; None if it has none, as a built condition or an intent: then no link is given rather than one to another query."""
+    if query is None or isinstance(query, (str, dict)):
+        return options.options(query)
+    if not isinstance(query, QueryBuilder):
+        return None
+    try:
+        return query.to_dict()
+    except ValueError:
+        return None
+
+
 def error(e: SelectorError, query: str = "") -> dict[str, Any]:
     """The body of an HTTP 400."""
     details = [{"code": "expression", "message": e.expression[:EXPRESSION]}] if isinstance(e, QueryError) and e.expression else []

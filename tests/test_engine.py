@@ -3,6 +3,8 @@
 from dataclasses import dataclass, field, replace
 from decimal import Decimal
 
+from urllib.parse import parse_qsl
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +159,11 @@ def test_pages_counts_and_lazy(catalog, spark):
     body = envelope.collection(s, "$select=id&$count=true")
     assert body["value"] == [{"id": 4}, {"id": 3}] and body["@odata.count"] == 4 and "$skip=2" in body["@odata.nextLink"]
     assert "@odata.nextLink" not in envelope.collection(s, "$select=id&$skip=3")
+    built = QueryBuilder().filter("id gt 1").select(Field("id")).orderby(OrderBy("id")).top(2)
+    body = envelope.collection(s, built)
+    rest = envelope.collection(s, dict(parse_qsl(body["@odata.nextLink"].split("?")[1])))
+    assert body["value"] + rest["value"] == [{"id": 2}, {"id": 3}, {"id": 4}]
+    assert "@odata.nextLink" not in envelope.collection(s, QueryBuilder().where(Field("id").gt(1)).top(1))
     scope = catalog["item"].source().where("id < 3")
     assert [r["id"] for r in s.get_many("$select=id", scope)] == [2, 1] and s.count_by(None, scope) == 2
     tracker = spark.sparkContext.statusTracker()
