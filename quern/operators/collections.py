@@ -100,7 +100,7 @@ class Nested:
         if rel.kind == "forward":
             if intent.top is not None or intent.skip is not None:
                 raise QueryError(f"{name} has at most one row; $top and $skip don't apply", "$expand", name)
-            self._children(child, intent)
+            self._children(child, intent, semi=intent.filter is not None)
             key = f"{out}__key"
             one = child.df.select(child.own(rel.remote).alias(key), F.struct(*self._columns(child, intent)).alias(out))
             frame.df = frame.df.join(one, frame.own(rel.local) == F.col(key), "left").drop(key)
@@ -110,10 +110,11 @@ class Nested:
             frame.df = frame.df.join(many, frame.own(rel.local) == F.col(key), "left").drop(key)
             frame.df = frame.df.withColumn(out, F.coalesce(out, F.array().cast(many.schema[out].dataType)))
 
-    def _children(self, child: Frame, intent: QueryIntent) -> None:
+    def _children(self, child: Frame, intent: QueryIntent, *, semi: bool) -> None:
+        """Expands the child's own relations; semi: the child's rows are cut, so only what belongs to them is ranked and grouped."""
         inner = Nested(self.catalog, self.depth + 1)
         for name, nested in intent.expand.items():
-            inner.expand(child, name, nested, semi=False)
+            inner.expand(child, name, nested, semi=semi)
 
     def _columns(self, child: Frame, intent: QueryIntent) -> list[Column]:
         _, columns = self.project(child, intent)
@@ -126,11 +127,13 @@ class Nested:
         """One ordered array a parent key; paged within each parent."""
         key = f"{out}__key"
         child.df = child.df.withColumn(key, child.own(rel.remote))
+        keys = None if parents is None else parents.df.select(parents.own(rel.local).alias(f"{key}s")).distinct()
         if rel.kind == "many":
-            bridge = bridge_of(rel, child.prefix)
-            child.df = child.df.join(bridge, F.col(child.prefix + "__to") == F.col(key)).withColumn(key, F.col(child.prefix + "__from"))
-        if parents is not None:
-            keys = parents.df.select(parents.own(rel.local).alias(f"{key}s")).distinct()
+            # the bridge is cut to the parents' keys before its pairs are made distinct and joined
+            start, end = child.prefix + "__from", child.prefix + "__to"
+            bridge = bridge_of(rel, child.prefix, keys)
+            child.df = child.df.join(bridge, F.col(end) == F.col(key)).withColumn(key, F.col(start))
+        elif keys is not None:
             child.df = child.df.join(keys, F.col(key) == F.col(f"{key}s"), "left_semi")
         order = order_columns(child, intent.orderby, complete=True)
         rank = f"{out}__rank"
@@ -139,7 +142,7 @@ class Nested:
         if skip or intent.top is not None:
             child.df = child.df.where(F.col(rank) > skip)
             child.df = child.df if intent.top is None else child.df.where(F.col(rank) <= skip + intent.top)
-        self._children(child, intent)
+        self._children(child, intent, semi=parents is not None or intent.filter is not None or skip > 0 or intent.top is not None)
         item = F.struct(F.col(rank).alias("r"), F.struct(*self._columns(child, intent)).alias("v"))
         grouped = child.df.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias(out))
         return grouped.withColumn(out, F.transform(out, lambda x: x["v"]))

@@ -129,9 +129,12 @@ class Frame:
         self.df = self.df.where(condition)
 
 
-def bridge_of(rel: Relation, prefix: str) -> DataFrame:
-    """The distinct pairs of a bridge, as prefix__from and prefix__to."""
-    return rel.bridge().select(F.col(rel.bridge_local).alias(prefix + "__from"), F.col(rel.bridge_remote).alias(prefix + "__to")).distinct()
+def bridge_of(rel: Relation, prefix: str, keys: DataFrame | None = None) -> DataFrame:
+    """The distinct pairs of a bridge, as prefix__from and prefix__to; keys: only pairs that start at a value of this table's one column."""
+    pairs = rel.bridge().select(F.col(rel.bridge_local).alias(prefix + "__from"), F.col(rel.bridge_remote).alias(prefix + "__to"))
+    if keys is not None:
+        pairs = pairs.join(keys, F.col(prefix + "__from") == F.col(keys.columns[0]), "left_semi")
+    return pairs.distinct()
 
 
 class Compiler(A.NodeVisitor):

@@ -64,6 +64,7 @@ for _name, _entity, _condition, _columns, _where in [
     ("startswith", "customer", "startswith(c_mktsegment, 'B')", "c_custkey,c_mktsegment", "starts_with(c_mktsegment, 'B')"),
     ("endswith", "customer", "endswith(c_name, '7')", "c_custkey,c_name", "ends_with(c_name, '7')"),
     ("length", "part", "length(p_type) gt 10", "p_partkey,p_type", "length(p_type) > 10"),
+    ("length_some", "part", "length(p_type) gt 6", "p_partkey,p_type", "length(p_type) > 6"),
     ("concat", "orders", "concat(o_orderstatus, o_orderpriority) eq 'F1-URGENT'", "o_orderkey,o_orderpriority", "concat(o_orderstatus, o_orderpriority) = 'F1-URGENT'"),
     ("indexof", "orders", "indexof(o_orderpriority, '-') eq 1", "o_orderkey,o_orderpriority", "instr(o_orderpriority, '-') - 1 = 1"),
     ("substring", "nation", "substring(n_name, 1) ne 'X'", "n_nationkey,n_name", "substring(n_name, 2) <> 'X'"),
@@ -72,6 +73,7 @@ for _name, _entity, _condition, _columns, _where in [
     ("tolower", "customer", "tolower(c_mktsegment) eq 'building'", "c_custkey,c_mktsegment", "lower(c_mktsegment) = 'building'"),
     ("toupper", "events", "toupper(event_type) eq 'CLICK'", "event_id,event_type", "upper(event_type) = 'CLICK'"),
     ("trim", "events", "trim(event_type) eq 'view'", "event_id,event_type", "trim(event_type) = 'view'"),
+    ("trim_padded", "events", "trim(concat('  ', concat(event_type, ' '))) eq 'view'", "event_id,event_type", "trim(concat('  ', event_type, ' ')) = 'view'"),
     ("year", "orders", "year(o_orderdate) eq 1997", "o_orderkey,o_orderdate", "year(o_orderdate) = 1997"),
     ("month", "orders", "month(o_orderdate) in (2, 3)", "o_orderkey,o_orderdate", "month(o_orderdate) IN (2, 3)"),
     ("day", "orders", "day(o_orderdate) eq 31", "o_orderkey,o_orderdate", "day(o_orderdate) = 31"),
@@ -90,6 +92,10 @@ for _name, _entity, _condition, _columns, _where in [
 add("nav_deep", "orders", {"$filter": "customer/nation/region/r_name eq 'ASIA'", "$select": "o_orderkey,o_custkey"}, "SELECT o_orderkey, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
 add("nav_dotted_text", "customer", {"$filter": "contains(nation.n_name, 'A')", "$select": "c_custkey,nation/n_name"}, "SELECT c_custkey, n_name AS nation_n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE contains(n_name, 'A')")
 add("nav_missing_target", "documents", {"$filter": "label/quality eq null", "$select": "doc_id"}, "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL")
+# nulls of a left join: a comparison with null is neither true nor false, and so is its negation
+add("filter_ne_missing", "documents", {"$filter": "label/quality ne 1", "$select": "doc_id"}, "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality <> 1")
+add("filter_not_missing", "documents", {"$filter": "not (label/quality eq 1)", "$select": "doc_id"}, "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE NOT (l.quality = 1)")
+add("filter_or_missing", "documents", {"$filter": "label/quality eq null or label/quality ge 1", "$select": "doc_id"}, "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL OR l.quality >= 1")
 add("nav_to_many", "customer", {"$filter": "orders/o_totalprice gt 300000", "$select": "c_custkey"}, "SELECT c_custkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 300000")
 add("lambda_any", "orders", {"$filter": "lines/any(l: l/l_quantity gt 49)", "$select": "o_orderkey"}, "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
 add("lambda_any_empty", "orders", {"$filter": "not lines/any()", "$select": "o_orderkey"}, "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -138,6 +144,9 @@ add("expand_forward_deep", "orders", {"$select": "o_orderkey", "$expand": "custo
 add("expand_forward_missing", "documents", {"$select": "doc_id", "$expand": "label($select=quality)"}, "SELECT d.doc_id, (l.doc_id IS NULL) AS missing, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", then=lambda df: df.select("doc_id", F.col("label").isNull().alias("missing"), "label.quality"))
 add("expand_reverse", "region", {"$select": "r_name", "$expand": "nations($select=n_name;$orderby=n_name desc)"}, "SELECT r_name, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_name DESC) - 1 AS pos, n_name FROM region JOIN nation ON n_regionkey = r_regionkey", then=_burst("nations", "n_name", keep=("r_name",)))
 add("expand_reverse_nested_rows", "region", {"$expand": "nations($expand=customers($select=c_name;$top=2))"}, None)
+add("expand_reverse_nested", "region", {"$select": "r_name", "$expand": "nations($select=n_name;$expand=customers($select=c_name;$top=2))"}, "SELECT r_name, n_name, c_name FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN (SELECT * FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 2) ON c_nationkey = n_nationkey", then=lambda df: df.select("r_name", F.explode("nations").alias("n")).select("r_name", "n.n_name", F.explode_outer("n.customers").alias("c")).select("r_name", "n_name", "c.c_name"))
+add("expand_many_paged_parent", "supplier", {"$select": "s_suppkey", "$orderby": "s_acctbal desc", "$top": "7", "$expand": "parts($select=p_partkey)"}, "SELECT s_suppkey, (SELECT count(DISTINCT l_partkey) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey = s_suppkey) AS n FROM (SELECT * FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 7)", then=lambda df: df.select("s_suppkey", F.size("parts").cast("long").alias("n")))
+add("expand_forward_filter_nested", "orders", {"$select": "o_orderkey", "$expand": "customer($select=c_name;$filter=c_acctbal gt 9000;$expand=events($select=event_id))"}, "SELECT o_orderkey, c_name, (SELECT count(*) FROM events WHERE user_id = c_custkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9000", then=lambda df: df.where("customer IS NOT NULL").select("o_orderkey", "customer.c_name", F.size("customer.events").cast("long").alias("n")))
 add("expand_reverse_page", "customer", {"$select": "c_custkey", "$expand": "orders($select=o_orderkey,o_totalprice;$orderby=o_totalprice desc;$skip=1;$top=2)"}, "SELECT c_custkey, CASE WHEN o_orderkey IS NULL THEN NULL ELSE rn - 2 END AS pos, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders QUALIFY rn > 1 AND rn <= 3) ON c_custkey = o_custkey", then=_burst("orders", "o_orderkey", "o_totalprice", keep=("c_custkey",)))
 add("expand_reverse_empty", "orders", {"$select": "o_orderkey", "$expand": "lines($select=l_linenumber;$filter=l_quantity ge 50)"}, "SELECT o_orderkey, count(l_orderkey)::BIGINT AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity >= 50 GROUP BY o_orderkey", then=lambda df: df.select("o_orderkey", F.size("lines").cast("long").alias("n")))
 add("expand_many", "supplier", {"$select": "s_suppkey", "$expand": "parts($select=p_partkey,p_size;$orderby=p_size;$top=3)"}, "SELECT s_suppkey, rn - 1 AS pos, p_partkey, p_size FROM supplier LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY p_size, p_partkey) AS rn FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey QUALIFY rn <= 3) ON s_suppkey = l_suppkey", then=_burst("parts", "p_partkey", "p_size", keep=("s_suppkey",)))
@@ -156,6 +165,7 @@ add("computed_column", "customer", {"$filter": "balance eq 'debt'", "$select": "
 add("computed_relation_count", "customer", {"$filter": "n_orders ge 12", "$select": "c_custkey,n_orders"}, "SELECT c_custkey, count(*) AS n_orders FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(*) >= 12", _computed)
 add("alias_projection", "customer", {"$filter": "segment eq 'BUILDING'", "$select": "c_custkey,segment,country", "$orderby": "country,c_custkey"}, "SELECT c_custkey, c_mktsegment AS segment, n_name AS country FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'", _computed)
 add("builder_where", "orders", QueryBuilder().where(Field("o_totalprice").between(1000, 50000) & ~Field("o_orderstatus").is_in(["F"])).and_where(Field("customer").c_mktsegment.eq("BUILDING") | Field("o_orderpriority").contains("URGENT")).select(Field("o_orderkey")), "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice BETWEEN 1000 AND 50000 AND o_orderstatus <> 'F' AND (c_mktsegment = 'BUILDING' OR contains(o_orderpriority, 'URGENT'))")
+add("builder_texts", "customer", QueryBuilder().where((Field("c_mktsegment").startswith("A") | Field("c_mktsegment").endswith("G")) & Field("c_name").is_not_null() & Field("c_nationkey").not_in([1, 2])).and_where(Field("c_name").matches("[0-9]*[02468]$")).select(Field("c_custkey")), "SELECT c_custkey FROM customer WHERE (starts_with(c_mktsegment, 'A') OR ends_with(c_mktsegment, 'G')) AND c_name IS NOT NULL AND c_nationkey NOT IN (1, 2) AND regexp_matches(c_name, '[0-9]*[02468]$')")
 add("builder_text", "orders", QueryBuilder().filter("o_totalprice gt 200000").or_filter("o_custkey lt 10").select("o_orderkey,o_custkey").orderby("o_orderkey desc").top(40), "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 200000 OR o_custkey < 10 ORDER BY o_orderkey DESC LIMIT 40")
 add("builder_expand", "region", QueryBuilder().select(Field("r_name")).expand(Expand("nations").select("n_name").orderby(OrderBy("n_name")).top(2)), "SELECT r_name, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_name) - 1 AS pos, n_name FROM region JOIN nation ON n_regionkey = r_regionkey QUALIFY pos < 2", then=_burst("nations", "n_name", keep=("r_name",)))
 
@@ -165,3 +175,12 @@ def _count(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["count"], SQL["count"] = _count, "SELECT count(*) AS count FROM orders WHERE o_orderstatus = 'F'"
+
+
+def _paged(entity: str, query: Query, policy: Policy = OPEN) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: Selector(driver_catalog(spark, folder), entity, policy).page(query)
+
+
+# pages that are bounded without being asked for
+QUERIES["page_default"], SQL["page_default"] = _paged("customer", {"$select": "c_custkey"}), "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 100"
+QUERIES["page_bound"], SQL["page_bound"] = _paged("orders", {"$select": "o_orderkey", "$orderby": "o_totalprice", "$top": "9999"}), "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 500"

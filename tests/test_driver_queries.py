@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import subprocess
 import sys
@@ -47,6 +48,17 @@ def test_pushdown_and_pruning(spark):
     assert "Join" not in count and "Sort" not in count
 
 
+def test_nested_levels_are_cut_to_their_parents(spark):
+    tree = lambda query, entity: Selector(driver_catalog(spark, FOLDER), entity).query(query)._jdf.queryExecution().optimizedPlan().toString()
+    # only orders of the customers that are left are ranked: the semi join lies below their window
+    paged = tree("$expand=customers($top=2;$expand=orders($top=2))", "nation")
+    assert "LeftSemi" in paged[paged.index("o_custkey") :].split("Window", 1)[1]
+    assert "LeftSemi" in tree("$expand=customer($filter=c_acctbal lt 0;$expand=orders)", "orders")
+    assert "LeftSemi" not in tree("$expand=customers($expand=orders)", "nation")
+    # a bridge is cut before its pairs are made distinct
+    assert re.search(r"Aggregate \[\w+__from.*\n.*\n.*Join LeftSemi", tree("$top=3&$expand=parts", "supplier"))
+
+
 @pytest.mark.parametrize("gone", [["quern/llm", "tests/llm"], ["quern/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
 def test_works_without_the_training_data_part(gone, tmp_path):
     top, copy = Path(__file__).parents[1], tmp_path / "copy"
