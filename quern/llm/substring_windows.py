@@ -9,8 +9,8 @@ probability s, so FUNCTIONS functions miss a near-duplicate passage with (1 - s)
    the shingles of the window within RADIUS of its place, 46 or more: windows of one content are an exactly repeated passage. The first of a partition leads and is linked to the others.
 2. The leaders of one min-hash, from whatever partition, are compared on their shingles within RADIUS of the place, in blocks of BLOCK leaders: each with the first, and
    those that hold no passage in common with it with all others. Place by place a passage is a stretch of MIN_WORDS words or more whose Jaccard similarity is at least SIMILARITY; where
-   runs of shingles are shared at other places, the two stretches are trimmed to where they agree and the similarity of the sets is computed. (A changed, added or moved word breaks four
-   shingles or more, so a passage of the similarity holds a run of at least 20 unchanged ones; RUN of them tell which windows may hold a passage in common.)
+   enough shingles are shared up to SHIFT places off, the two stretches are trimmed to where they agree, else all stretches between shared shingles are tried, and the similarity of the sets
+   is computed. (A changed, added or moved word breaks four shingles or more, so a passage of the similarity holds a run of at least 20 unchanged ones; RUN of them tell which windows may hold a passage in common.)
 3. Interval join: the passages of two texts on one diagonal (difference of places) that overlap are united into one, and then those that follow one another in both texts, with an edit
    between them, if what they share is similar enough to the whole.
 
@@ -27,9 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .graph import components
 from .jaccard_join import SHINGLE, SIMILARITY, shingle_sets
 from .shared import BROADCAST_BYTES, pinned, small, stored, table
 from .streams import whole_groups
@@ -44,8 +45,10 @@ FUNCTIONS = math.ceil(math.log(MISSED) / math.log(1 - SIMILARITY))
 RADIUS = MIN_WORDS - SHINGLE
 #: Leaders of a min-hash that are compared in one task, and that are compared without an index.
 BLOCK, FEW = 20_000, 12
-#: Shingles of a run, and so many runs are shared by two windows with a passage in common, in other places too where it is looked for there.
+#: Shingles of a run, and so many runs are shared by two windows with a passage in common.
 RUN, SHARED = 16, 4
+#: Shingles that two passages of least length and the similarity share.
+COMMON = math.ceil(2 * (MIN_WORDS - SHINGLE + 1) * SIMILARITY / (1 + SIMILARITY) - 1e-9)
 #: A passage of the similarity and of less than twice the least length has no more added or left out shingles than this.
 SHIFT = int(2 * (MIN_WORDS - SHINGLE + 1) * (1 / SIMILARITY - 1)) // 2 + 1
 PIECE = 512 << 10
@@ -201,9 +204,10 @@ class _Block:
             run = (run[:, :-k] ^ (run[:, :-k] >> np.uint32(15))) * np.uint32(0x85EBCA77) + run[:, k:]
         start = np.arange(run.shape[1])
         inside = (start >= (RADIUS - before)[:, None]) & (start + RUN <= (RADIUS + after + 1)[:, None])
-        # of one and the same shingle over and over there is a run at every shift; such a passage is found place by place
+        # of one and the same shingle over and over there is a run at every shift; such a passage is found place by place, so these runs are told by their columns too
         repeats = np.concatenate((np.zeros((len(rows), 1), np.int32), np.cumsum(self.tokens[:, 1:] == self.tokens[:, :-1], axis=1)), axis=1)
-        inside &= repeats[:, RUN - 1 :] - repeats[:, : -RUN + 1] < RUN - 1
+        over = repeats[:, RUN - 1 :] - repeats[:, : -RUN + 1] == RUN - 1
+        run = np.where(over, run ^ (start.astype(np.uint32) + np.uint32(1)) * np.uint32(0xC2B2AE3D), run)
         self.runs = np.where(inside, run | np.uint32(1), np.uint32(0))
         self.key = rows.column("key").to_numpy()
 
@@ -240,20 +244,25 @@ class _Block:
         return found, x, y, similarity
 
     def shifted(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How many runs of a stand in b up to SHIFT places on or back, for each pair."""
-        out, width = np.zeros(len(a), np.int64), self.runs.shape[1]
+        """How many shingles of a stand in b at the same place or up to SHIFT places on or back, or of b in a if these are fewer, for each pair."""
+        out = np.zeros(len(a), np.int64)
         for lo in range(0, len(a), 2000):
-            p, q = self.runs[a[lo : lo + 2000]], self.runs[b[lo : lo + 2000]]
+            p, q = self.tokens[a[lo : lo + 2000]], self.tokens[b[lo : lo + 2000]]
+            mine = (p == q) & (p > 0)
+            yours = mine.copy()
             for k in range(1, SHIFT + 1):
-                for x, y in ((p[:, k:], q[:, : width - k]), (p[:, : width - k], q[:, k:])):
-                    out[lo : lo + len(p)] += ((x == y) & (x > 0)).sum(1)
+                for x, y, u, v in ((p[:, k:], q[:, :-k], mine[:, k:], yours[:, :-k]), (p[:, :-k], q[:, k:], mine[:, :-k], yours[:, k:])):
+                    same = (x == y) & (x > 0)
+                    u |= same
+                    v |= same
+            out[lo : lo + len(p)] = np.minimum(mine.sum(1), yours.sum(1))
         return out
 
     def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, tuple, np.ndarray]:
         """Which pairs hold a passage place by place; the links: window, columns, window, columns, similarity; and the pairs that may hold one with shifted shingles."""
         found, x, y, similarity = self.aligned(a, b)
         left = np.flatnonzero(~found)
-        left = left[self.shifted(a[left], b[left]) >= SHARED]
+        left = left[self.shifted(a[left], b[left]) >= COMMON]
         return found, (a[found], x[found], y[found], b[found], x[found], y[found], similarity[found]), np.stack((a[left], b[left]))
 
     def edited(self, linked: list[tuple], left: np.ndarray) -> list[tuple]:
@@ -419,7 +428,41 @@ def _passage(a: np.ndarray, b: np.ndarray, length: int) -> tuple[int, int, int,
             continue
         if (similarity := _jaccard(a[a0:a1], b[b0:b1])) >= SIMILARITY:
             return exact if exact and exact[1] - exact[0] > a1 - a0 else (a0, a1, b0, b1, similarity)
-    return exact
+    return exact or _between(a, b, length)
+
+
+def _between(a: np.ndarray, b: np.ndarray, length: int) -> tuple[int, int, int, int, float] | None:
+    """The longest passage from one shared shingle to another, all such pairs tried; where it is too short, it takes in what stands beside it. (An edit near an end costs the trimming above more
+    than the shingles beyond it bring, but a passage of least length needs these.)"""
+    at = {}
+    for j, v in enumerate(b.tolist()):
+        at.setdefault(v, []).append(j)
+    first = [(i, at[v].pop(0)) for i, v in enumerate(a.tolist()) if at.get(v)]
+    every = np.array(first, np.int64).reshape(-1, 2)
+    step = np.diff(every, axis=0)
+    beside = np.concatenate(([False], (step == 1).all(1), [False]))
+    best = None
+    for x, y in (every.T, every[beside[1:] | beside[:-1]].T):  # once without shingles that stand alone, which may be equal by chance
+        if len(x) * (1 + SIMILARITY) < 2 * SIMILARITY * length - 1e-9:
+            continue
+        n = len(x)
+        upper = np.triu(np.ones((n, n), bool))
+        low = np.minimum.accumulate(np.where(upper, y, len(b)), axis=1)
+        high = np.maximum.accumulate(np.where(upper, y, -1), axis=1)
+        long, other = np.maximum(x[None, :] - x[:, None] + 1, length), np.maximum(high - low + 1, length)
+        both = np.arange(n)[None, :] - np.arange(n)[:, None] + 1
+        good = upper & (both * (1 + SIMILARITY) >= SIMILARITY * (long + other) - 1e-9)
+        if not good.any():
+            continue
+        score = np.where(good, (long + other) * 256 + both, 0)
+        for k in np.argsort(-score, axis=None)[: min(8, int(good.sum()))].tolist():
+            i, j = divmod(k, n)
+            a0, b0 = min(int(x[i]), len(a) - int(long[i, j])), min(int(low[i, j]), len(b) - int(other[i, j]))
+            a1, b1 = a0 + int(long[i, j]), b0 + int(other[i, j])
+            if min(a0, b0) >= 0 and (similarity := _jaccard(a[a0:a1], b[b0:b1])) >= SIMILARITY and (best is None or a1 - a0 + b1 - b0 > best[1] - best[0] + best[3] - best[2]):
+                best = a0, a1, b0, b1, similarity
+                break
+    return best
 
 
 def _passages(a: np.ndarray, b: np.ndarray, length: int) -> list[tuple[int, int, int, int, float]]:
@@ -443,25 +486,30 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _copies(rows: DataFrame) -> DataFrame:
-    """rid of every row whose text another row of lesser id has, and that row's id as other_id."""
+    """rid of every row whose text another row of lesser id has, and that row's rid and id as lead_rid and other_id."""
     named = rows.select("rid", "doc_id", F.xxhash64(F.lit(809), "text").alias("t1"), F.xxhash64("text", F.lit(810)).alias("t2")).distinct()
     groups = named.groupBy("t1", "t2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return pinned(named.join(groups, ["t1", "t2"]).where(F.col("rid") != F.col("m.rid")).select("rid", F.col("m.doc_id").alias("other_id")))
+    return pinned(named.join(groups, ["t1", "t2"]).where(F.col("rid") != F.col("m.rid")).select("rid", F.col("m.rid").alias("lead_rid"), F.col("m.doc_id").alias("other_id")))
 
 
-def repeated_passages(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Links of passages of at least MIN_WORDS words and SIMILARITY: doc_id, other_id (the text that leads), where the passage starts in each and how many words
-    it has, in words of letters and digits, and the Jaccard similarity of the two passages' five-word shingles (of a united passage the least of its parts', or what they share of the whole).
-
-    Every text with such a passage elsewhere is in some link; texts that share one are linked to the same or to linked leaders. Passages within one
-    text are no links. A null, empty or shorter text has none; very long ones are scanned whole, one at a time; only the id and the text are read, so other columns don't clash. Null ids are
-    given out as null. Rows equal in id and text are one text. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _long_enough(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """rid, doc_id and text of the rows whose texts have the bytes of MIN_WORDS words."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.lit(808), F.col(id_col), F.col(id_col).isNull(), text).alias("rid")).where(F.octet_length("text") >= 2 * MIN_WORDS - 1)
-    copies = _copies(rows)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _row_name(text_col, id_col).alias("rid")).where(F.octet_length("text") >= 2 * MIN_WORDS - 1)
+
+
+def _row_name(text_col: str, id_col: str) -> Column:
+    return F.xxhash64(F.lit(808), F.col(id_col), F.col(id_col).isNull(), F.col(text_col).cast("string"))
+
+
+def _whole(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows that copies names, with the words of their texts as n, where these are enough."""
+    return rows.join(small(copies, copies.count(), 48), "rid").dropDuplicates(["rid"]).withColumn("n", F.regexp_count(F.lower("text"), F.lit(WORD)).cast("long")).where(F.col("n") >= MIN_WORDS).drop("text")
+
+
+def _united(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """The links of the texts of rows, without those of copies: text and leader by rid, where the passage starts and stops in each by shingles, the similarity, and both ids."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     again = copies.select(F.col("rid").alias("__again"))
     single = rows.join(small(again, again.count(), 24), F.col("rid") == F.col("__again"), "left_anti")
     windows = single.select("rid", "doc_id", "text").mapInArrow(_window_records, "key long, rid long, doc_id long, content long, place int, before byte, after byte")
@@ -485,13 +533,76 @@ def repeated_passages(docs: DataFrame, *, text_col: str = "text", id_col: str =
     own, lead = F.col("place"), F.col("lead_place")
     exact = found.where("kind = 0").select("rid", (own - F.col("before")).alias("start"), (own + F.col("after")).alias("stop"), "lead_rid", (lead - F.col("lead_before")).alias("lead_start"), (lead + F.col("lead_after")).alias("lead_stop"), F.lit(1.0).alias("similarity"), "doc_id", "lead_doc_id")
     links = exact.union(near).withColumn("diagonal", F.col("start") - F.col("lead_start"))
-    united = links.repartition(n, "lead_rid", "rid").sortWithinPartitions("lead_rid", "rid", "diagonal").mapInArrow(_unite, f"rid long, start long, stop long, lead_rid long, lead_start long, lead_stop long, similarity double, {_IDS}")
+    return links.repartition(n, "lead_rid", "rid").sortWithinPartitions("lead_rid", "rid", "diagonal").mapInArrow(_unite, f"rid long, start long, stop long, lead_rid long, lead_start long, lead_stop long, similarity double, {_IDS}")
+
+
+def repeated_passages(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Links of passages of at least MIN_WORDS words and SIMILARITY: doc_id, other_id (the text that leads), where the passage starts in each and how many words
+    it has, in words of letters and digits, and the Jaccard similarity of the two passages' five-word shingles (of a united passage the least of its parts', or what they share of the whole).
+
+    Every text with such a passage elsewhere is in some link; texts that share one are linked to the same or to linked leaders. Passages within one
+    text are no links. A null, empty or shorter text has none; very long ones are scanned whole, one at a time; only the id and the text are read, so other columns don't clash. Null ids are
+    given out as null. Rows equal in id and text are one text. An empty table gives no rows.
+    """
+    rows = _long_enough(docs, text_col, id_col)
+    copies = _copies(rows)
+    united = _united(rows, copies)
     n_words = lambda a, b: F.col(b) - F.col(a) + SHINGLE
     passages = united.select("doc_id", F.col("lead_doc_id").alias("other_id"), F.col("start").alias("start_word"), n_words("start", "stop").alias("n_words"), F.col("lead_start").alias("other_start_word"), n_words("lead_start", "lead_stop").alias("other_n_words"), "similarity")
-    whole = rows.join(small(copies, again.count(), 48), "rid").dropDuplicates(["rid"]).withColumn("n", F.regexp_count(F.lower("text"), F.lit(WORD)).cast("long")).where(F.col("n") >= MIN_WORDS)
+    whole = _whole(rows, copies)
     zero = F.lit(0).cast("long")
     return passages.union(whole.select("doc_id", "other_id", zero, "n", zero, "n", F.lit(1.0)))
 
 
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of each text that its passages cover, overlapping and adjoining ones as one, in words."""
+    for rows, begin in whole_groups(batches, ["rid"]):
+        rid, start, stop = (rows.column(c).to_numpy() for c in ("rid", "start", "stop"))
+        group = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        stop = stop + SHINGLE  # behind the last word
+        big = int(stop.max()) + 1
+        reach = np.maximum.accumulate(stop + group * big)
+        new = np.ones(len(rid), bool)
+        new[1:] = (group[1:] != group[:-1]) | (start[1:] + group[1:] * big > reach[:-1])
+        at = np.flatnonzero(new)
+        words = np.maximum.reduceat(stop, at) - start[at]
+        first = np.concatenate((np.searchsorted(group[at], np.arange(len(begin) - 1)), [len(at)]))
+        spans = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(start[at]), pa.array(words)], ["start_word", "n_words"]))
+        yield pa.record_batch([pa.array(rid[begin[:-1]]), spans], ["rid", "passages"])
+
+
+_SPANS = "array<struct<start_word:bigint,n_words:bigint>>"
+
+
+def passage_classes(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per row of docs: doc_id, class_id (the least id of the texts that passages join, directly or through others), n_passages, n_repeated (words in passages) and passages: the stretches of
+    the text, in words of letters and digits, that are covered by passages of a link, united where they overlap or adjoin.
+
+    Two texts with a passage of at least MIN_WORDS words and SIMILARITY in common are of one class, since each min-hash joins all its windows that hold one by a tree of links; the passages are
+    those of the trees' links, which may end before one that a text shares with another than it is linked to. A row without a passage elsewhere is a class of its own. A text of MIN_WORDS words or
+    more that another row has too is one whole passage. Null ids come after all others, and a class of null ids has a null class_id. Null, empty and shorter texts have no passage; very long ones
+    are scanned whole, one at a time. Only the id and the text are read, so other columns don't clash. Rows equal in id and text are one text, and each is given. An empty table gives no rows.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _long_enough(docs, text_col, id_col)
+    copies = _copies(rows)
+    names = ["rid", "start", "stop", "lead_rid", "lead_start", "lead_stop"]
+    united = stored(_united(rows, copies).select(*names))
+    labels = components(united.select(F.col("rid").alias("a"), F.col("lead_rid").alias("b")).distinct())
+    sides = united.select("rid", "start", "stop").union(united.select(*names[3:])).distinct()
+    spans = sides.repartition(n, "rid").sortWithinPartitions("rid", "start").mapInArrow(_spans, f"rid long, passages {_SPANS}")
+    tops = copies.select("rid", "lead_rid").union(copies.select("lead_rid", "lead_rid").distinct())
+    whole = pinned(_whole(rows.select("rid", "text"), tops))
+    alike = whole.join(labels.withColumnRenamed("node", "lead_rid"), "lead_rid", "left").select("rid", F.coalesce("component", "lead_rid").alias("component"), F.array(F.struct(F.lit(0).cast("long").alias("start_word"), F.col("n").alias("n_words"))).cast(_SPANS).alias("passages"))
+    others = labels.withColumnRenamed("node", "rid").join(spans, "rid").join(whole.select("rid"), "rid", "left_anti").select("rid", "component", "passages")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row_name(text_col, id_col).alias("rid"))
+    told = stored(own.join(alike.union(others), "rid", "left"))
+    least = pinned(told.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.lit(True).alias("joined")))
+    out = told.withColumn("component", F.coalesce("component", "rid")).join(small(least, least.count(), 32), "component", "left")
+    out = out.withColumn("passages", F.coalesce("passages", F.array().cast(_SPANS)))
+    counted = F.aggregate("passages", F.lit(0).cast("long"), lambda x, y: x + y["n_words"])
+    return out.select("doc_id", F.when(F.col("joined"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.size("passages").cast("long").alias("n_passages"), counted.alias("n_repeated"), "passages")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return passage_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -505,6 +505,84 @@ def test_all_passages_of_a_pair(spark):
     assert [p[:2] for p in substring_windows._passages(a[:168], b[:168], 46)] == [(72, 168), (0, 56)]
 
 
+def test_passages_with_a_word_added_near_an_end(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [f"e{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(40):  # 42 of 51 shingles are shared
+        p, at = fresh(50), (5, 8, 12, 38, 42, 45, 25, 30)[k % 8]
+        rows += [(2 * k, " ".join(fresh(40) + p + fresh(40))), (2 * k + 1, " ".join(fresh(30) + p[:at] + fresh(1) + p[at:] + fresh(50)))]
+    out = substring_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in out} == {(2 * k, 2 * k + 1) for k in range(40)}
+
+
+def test_a_passage_is_found_if_any_two_stretches_are_one():
+    rng, w, length, some = np.random.default_rng(3), substring_windows, 14, 0
+    fresh = lambda n: rng.integers(0, 60000, n).tolist()
+    for _ in range(120):
+        base = fresh(17)
+        q = list(base)
+        for _ in range(rng.integers(1, 4)):
+            at, k = int(rng.integers(0, len(q))), int(rng.integers(0, 3))
+            q[at : at + k * int(rng.integers(0, 2))] = fresh(k)
+        a, b = (fresh(rng.integers(0, 3)) + x + fresh(rng.integers(0, 3)) for x in (base, q))
+        stretches = [[set(x[i:j]) for i in range(len(x)) for j in range(i + length, len(x) + 1)] for x in (a, b)]
+        want = any(len(s & t) >= w.SIMILARITY * len(s | t) for s in stretches[0] for t in stretches[1])
+        got = w._passage(np.array(a, np.uint32), np.array(b, np.uint32), length)
+        assert (got is not None) == want
+        some += want
+    assert some > 60
+
+
+def test_passages_of_one_shingle_unlike_the_first_window_are_linked():
+    w, rng = substring_windows, np.random.default_rng(12)
+    records = []
+    for k in range(w.FEW + 10):  # the first two hold the shingle once, the others 46 times; what stands before it differs
+        cells = rng.integers(1, 60000, 20 + k + 46)
+        cells[20 + k : None if k > 1 else 21 + k] = 7
+        records.append({"key": 1, "rid": k, "place": 100, "before": 20 + k, "after": 45, "block": 0, "i": 0, "j": 0, "shingles": cells.astype(np.uint16).tobytes()})
+    got = {(r["lead_rid"], r["rid"]) for b in w._compare(iter([pa.RecordBatch.from_pylist(records)])) for r in b.to_pylist()}
+    assert joined(len(records), got) == {frozenset({0}), frozenset({1}), frozenset(range(2, len(records)))}
+
+
+def test_passage_classes(spark, none, odd):
+    rng = random.Random(14)
+    fresh = lambda n: [f"k{rng.randrange(10**9)}" for _ in range(n)]
+    one, two, text = fresh(60), fresh(70), fresh(80)
+    rows = [(1, fresh(10) + one + fresh(30)), (2, one + fresh(40) + two), (3, fresh(5) + two), (4, fresh(120)), (5, text), (9, text), (None, text), (11, fresh(30) * 2), (12, ["short"]), (14, one[:40] + fresh(60))]
+    rows = [(i, " ".join(w), "x") for i, w in rows] + [(4, None, "x"), (6, "", "x"), (None, None, "x")]
+    rows.append(rows[0])  # a row again is the same text
+    out = substring_windows.passage_classes(spark.createDataFrame(rows, "doc_id long, text string, class_id string")).collect()
+    told = Counter((r["doc_id"], r["class_id"], r["n_passages"], r["n_repeated"], tuple(map(tuple, r["passages"]))) for r in out)
+    alone = lambda i: (i, i, 0, 0, ())
+    assert told == Counter(
+        [(1, 1, 1, 60, ((10, 60),))] * 2 + [(2, 1, 2, 130, ((0, 60), (100, 70))), (3, 1, 1, 70, ((5, 70),)), alone(4), alone(4), *((i, 5, 1, 80, ((0, 80),)) for i in (5, 9, None)), alone(11), alone(12), alone(14), alone(6), alone(None)]
+    )
+    assert substring_windows.passage_classes(none).count() == 0
+    assert substring_windows.passage_classes(odd).count() == odd.count()
+
+
+def test_classes_against_all_pairs(spark):
+    # edited copies of a few texts: every two texts with a passage of 46 shingles of the similarity in common, place by place or across an added word, are of one class
+    rng, w = random.Random(15), substring_windows
+    fresh = lambda n: [f"m{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for family in (fresh(70) for _ in range(6)):
+        for _ in range(12):
+            words = list(family)
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = fresh(rng.randrange(2))
+            texts.append(words)
+    sets = [[{hash(tuple(t[k : k + 5])) for k in range(i, i + n)} for n in (46, 47, 48) for i in range(len(t) - 4 - n + 1)] for t in texts]
+    linked = {(i, j) for j in range(len(texts)) for i in range(j) if any(len(s & t) >= w.SIMILARITY * len(s | t) for s in sets[i] for t in sets[j])}
+    out = w.passage_classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(linked) > 100 and len(out) == len(texts)
+    class_id = {r["doc_id"]: r["class_id"] for r in out}
+    assert [p for p in linked if class_id[p[0]] != class_id[p[1]]] == []
+    assert {r["doc_id"] for r in out if r["n_passages"]} == {i for p in linked for i in p}
+
+
 # 9
 
 
