@@ -11,8 +11,9 @@ probability s, so FUNCTIONS functions miss a near-duplicate passage with (1 - s)
    those that hold no passage in common with it with all others. Place by place a passage is a stretch of MIN_WORDS words or more whose Jaccard similarity is at least SIMILARITY; where
    enough shingles are shared up to SHIFT places off, the two stretches are trimmed to where they agree, else all stretches between shared shingles are tried, and the similarity of the sets
    is computed. (A changed, added or moved word breaks four shingles or more, so a passage of the similarity holds a run of at least 20 unchanged ones; RUN of them tell which windows may hold a passage in common.)
-3. Interval join: the passages of two texts on one diagonal (difference of places) that overlap are united into one, and then those that follow one another in both texts, with an edit
-   between them, if what they share is similar enough to the whole.
+3. Interval join: the passages of two texts on one diagonal (difference of places) that overlap are united into one, then those that overlap by half in both texts (a line over
+   and over gives a passage on each of many diagonals), and those that follow one another in both, with an edit between them, if what they share is similar enough to the whole.
+4. The query gives classes: one row per document, with the least id of the texts that passages join to its own, and the stretches of it that passages cover.
 
 Rows of equal text are links of their own, whole text to whole text with the row of least id, and only that row takes part in the steps above.
 
@@ -244,8 +245,8 @@ class _Block:
         return found, x, y, similarity
 
     def shifted(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How many shingles of a stand in b at the same place or up to SHIFT places on or back, or of b in a if these are fewer, for each pair."""
-        out = np.zeros(len(a), np.int64)
+        """For each pair, whether both have a stretch long enough with as many shingles that stand in the other, at the same place or up to SHIFT places off, as a passage takes."""
+        out = np.zeros(len(a), bool)
         for lo in range(0, len(a), 2000):
             p, q = self.tokens[a[lo : lo + 2000]], self.tokens[b[lo : lo + 2000]]
             mine = (p == q) & (p > 0)
@@ -255,14 +256,30 @@ class _Block:
                     same = (x == y) & (x > 0)
                     u |= same
                     v |= same
-            out[lo : lo + len(p)] = np.minimum(mine.sum(1), yours.sum(1))
+            at = np.flatnonzero(np.minimum(mine.sum(1), yours.sum(1)) >= COMMON)
+            for own, tokens in ((mine, p), (yours, q)):
+                at = at[self._dense(own[at], tokens[at] > 0)]
+            out[lo + at] = True
         return out
 
+    @staticmethod
+    def _dense(same: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Whether a stretch of length n >= _LEAST has m of same, so that m / (n + l - m) can reach the similarity with another of length l, which is at least _LEAST and m."""
+        ok = np.zeros(len(same), bool)
+        long = np.arange(_LEAST, _WIDTH + 1)[None, :] - np.arange(_WIDTH - _LEAST + 1)[:, None] >= _LEAST
+        sums = np.zeros((2, len(same), _WIDTH + 1), np.float32)
+        for k, (hit, most) in enumerate(((1 + SIMILARITY, SIMILARITY), (1.0, SIMILARITY))):
+            np.cumsum(np.where(inside, same * np.float32(hit) - np.float32(most), np.float32(-1000)), axis=1, out=sums[k, :, 1:])
+        for lo in range(0, len(same), 2000):
+            x = [v[lo : lo + 2000, None, _LEAST:] - v[lo : lo + 2000, : _WIDTH - _LEAST + 1, None] for v in sums]
+            ok[lo : lo + 2000] = ((x[0] >= SIMILARITY * _LEAST - 0.1) & (x[1] >= -0.1) & long).any(axis=(1, 2))
+        return ok
+
     def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, tuple, np.ndarray]:
         """Which pairs hold a passage place by place; the links: window, columns, window, columns, similarity; and the pairs that may hold one with shifted shingles."""
         found, x, y, similarity = self.aligned(a, b)
         left = np.flatnonzero(~found)
-        left = left[self.shifted(a[left], b[left]) >= COMMON]
+        left = left[self.shifted(a[left], b[left])]
         return found, (a[found], x[found], y[found], b[found], x[found], y[found], similarity[found]), np.stack((a[left], b[left]))
 
     def edited(self, linked: list[tuple], left: np.ndarray) -> list[tuple]:
@@ -376,7 +393,7 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bridged(pair: np.ndarray, start: np.ndarray, stop: np.ndarray, lead_start: np.ndarray, lead_stop: np.ndarray, similarity: np.ndarray) -> np.ndarray:
-    """The passages that are left when each takes in those that follow it in both texts; the arrays are changed."""
+    """The passages that are left when each takes in those that overlap it by half in both texts, or follow it in both; the arrays are changed."""
     order = np.lexsort((start, pair))
     keep = np.ones(len(order), bool)
     near = pair[order[1:]] == pair[order[:-1]]
@@ -385,6 +402,13 @@ def _bridged(pair: np.ndarray, start: np.ndarray, stop: np.ndarray, lead_start:
     for k in np.flatnonzero(near).tolist():
         a, b = order[k], order[k + 1]
         a = into if into >= 0 and pair[into] == pair[b] and not keep[a] else a
+        own, lead = min(stop[a], stop[b]) - start[b] + 1, min(lead_stop[a], lead_stop[b]) - max(lead_start[a], lead_start[b]) + 1
+        if 2 * own >= min(stop[a] - start[a], stop[b] - start[b]) + 1 and 2 * lead >= min(lead_stop[a] - lead_start[a], lead_stop[b] - lead_start[b]) + 1:
+            # on another diagonal, as of a line over and over: each shingle is in a passage of both texts
+            stop[a], lead_start[a], lead_stop[a] = max(stop[a], stop[b]), min(lead_start[a], lead_start[b]), max(lead_stop[a], lead_stop[b])
+            similarity[a], keep[b], into = min(similarity[a], similarity[b]), False, a
+            shared[a] = 2 * similarity[a] / (1 + similarity[a]) * (stop[a] - start[a] + 1)
+            continue
         if lead_start[b] < lead_start[a]:
             continue
         over = max(0, stop[a] - start[b] + 1, lead_stop[a] - lead_start[b] + 1)

@@ -583,6 +583,19 @@ def test_classes_against_all_pairs(spark):
     assert {r["doc_id"] for r in out if r["n_passages"]} == {i for p in linked for i in p}
 
 
+def test_a_line_over_and_over_is_one_passage_of_a_pair(spark):
+    rng = random.Random(16)
+    fresh = lambda n: [f"l{rng.randrange(10**9)}" for _ in range(n)]
+    line = fresh(12)
+    df = spark.createDataFrame([(i, " ".join(fresh(40) + line * (20 + i) + fresh(40))) for i in range(8)], "doc_id long, text string")
+    out = substring_windows.repeated_passages(df).collect()
+    assert len(out) <= 16  # on each diagonal of its own there are about 80
+    assert joined(8, [(r["doc_id"], r["other_id"]) for r in out]) == {frozenset(range(8))}
+    for r in substring_windows.passage_classes(df).collect():
+        (start, n), want = r["passages"][0], 12 * (20 + r["doc_id"])
+        assert r["class_id"] == 0 and r["n_passages"] == 1 and start <= 40 and start + n >= 40 + want and n <= want + 24
+
+
 # 9
 
 
