@@ -6,7 +6,8 @@ least the shortest passage; about 2n / length of them stand for all stretches of
 probability s, so FUNCTIONS functions miss a near-duplicate passage with (1 - s) to that power, and an exactly repeated one never.
 
 1. The windows of all texts, one record a function and window, are range-partitioned by (function and min-hash, content, text, place) and sorted. The content is a hash of
-   the shingles of the window within RADIUS of its place, 46 or more: windows of one content are an exactly repeated passage. The first of a partition leads and is linked to the others.
+   the shingles of the window within RADIUS of its place, 46 or more: windows of one content are an exactly repeated passage. The first of a partition leads and is linked to the others of other texts, and where
+   its text holds the content again, to the first of another text.
 2. The leaders of one min-hash, from whatever partition, are compared on their shingles within RADIUS of the place, in blocks of BLOCK leaders: each with the first, and
    those that hold no passage in common with it with all others. Place by place a passage is a stretch of MIN_WORDS words or more whose Jaccard similarity is at least SIMILARITY; where
    enough shingles are shared up to SHIFT places off, the two stretches are trimmed to where they agree, else all stretches between shared shingles are tried, and the similarity of the sets
@@ -146,8 +147,14 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several[0] |= first
         several[-1] |= last
         lead = np.maximum.accumulate(np.where(opens, every, 0))
-        for use, kind in ((rid != rid[lead], 0), (opens & np.repeat(several, np.diff(begin)), 1)):
-            a, b = rows.take(pa.array(every[use])), rows.take(pa.array(lead[use]))
+        # a leader that holds the content again is linked there by the first window of another text
+        foreign = rid != rid[lead]
+        first_foreign = np.full(len(rows), -1)
+        first_foreign[lead[foreign][::-1]] = every[foreign][::-1]
+        again = every[~foreign & ~opens & (first_foreign[lead] >= 0)]
+        asked = every[opens & np.repeat(several, np.diff(begin))]
+        for x, y, kind in ((every[foreign], lead[foreign], 0), (first_foreign[lead[again]], again, 0), (asked, asked, 1)):
+            a, b = rows.take(pa.array(x)), rows.take(pa.array(y))
             yield pa.record_batch([a.column("key"), *(a.column(c) for c in own), *(b.column(c) if kind == 0 else pa.nulls(len(b), b.column(c).type) for c in own), pa.array(np.full(len(a), kind, np.int32))], names)
 
     held, first = None, True

@@ -589,7 +589,8 @@ def test_a_line_over_and_over_is_one_passage_of_a_pair(spark):
     line = fresh(12)
     df = spark.createDataFrame([(i, " ".join(fresh(40) + line * (20 + i) + fresh(40))) for i in range(8)], "doc_id long, text string")
     out = substring_windows.repeated_passages(df).collect()
-    assert len(out) <= 16  # on each diagonal of its own there are about 80
+    pairs = {(r["doc_id"], r["other_id"]) for r in out}
+    assert len(out) <= 2 * len(pairs), Counter((r["doc_id"], r["other_id"]) for r in out)  # not one for each of many diagonals
     assert joined(8, [(r["doc_id"], r["other_id"]) for r in out]) == {frozenset(range(8))}
     for r in substring_windows.passage_classes(df).collect():
         (start, n), want = r["passages"][0], 12 * (20 + r["doc_id"])
