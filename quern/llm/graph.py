@@ -11,17 +11,26 @@ from .shared import pinned
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) for every node of edges(a, b); loops are allowed, nulls are not.
 
-    Each round takes the least label among the neighbours, as a partial aggregate, and then the label's own label, so paths shorten by halves.
-    Labels only fall, so it ends. The joins are on one key, and hubs' rows are dealt anew by Spark's skew joins. Every round is checkpointed; the driver sees one count of changes a round.
+    Rounds of contraction: every node is taken into the one of least hash among itself and its neighbours, by a hash of the round, and edges become edges of what their ends were taken into, without
+    loops and repeats. A quarter of the nodes or more is expected to go each time, and of edges around hubs nearly all, so all rounds together join a small multiple of the edges, whatever the paths'
+    lengths. Then what each node was taken into is followed from the last round back. The joins are on one key and none is a broadcast, as those of all rounds would stay in the driver together; hubs' rows are dealt anew by Spark's skew joins. Every round is checkpointed; the
+    driver sees one look for edges a round.
     """
-    both = pinned(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = pinned(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    left = pinned(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rounds = []
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = pinned(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
-        changed = new.where(F.col("old") != F.col("label")).limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("h"), F.col(c).alias("into"))  # noqa: B023, E731
+        ends = left.select(F.col("a").alias("node"), F.least(rank("a"), rank("b")).alias("m")).union(left.select(F.col("b").alias("node"), F.least(rank("a"), rank("b")).alias("m")))
+        taken = pinned(ends.groupBy("node").agg(F.min("m").alias("m")).select("node", F.col("m.into").alias("into")))
+        rounds.append(taken)
+        one, two = taken.select(F.col("node").alias("a"), F.col("into").alias("x")), taken.select(F.col("node").alias("b"), F.col("into").alias("y"))
+        ahead = left.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where("x != y")
+        left = pinned(ahead.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if left.isEmpty():
+            break
+    ends = rounds.pop()
+    for taken in reversed(rounds):
+        after = ends.select(F.col("node").alias("into"), F.col("into").alias("last"))
+        ends = pinned(taken.join(after.hint("merge"), "into", "left").select("node", F.coalesce("last", "into").alias("into")))
+    least = ends.groupBy("into").agg(F.min("node").alias("component"))
+    return ends.join(least.hint("merge"), "into").select("node", "component")

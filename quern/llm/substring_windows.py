@@ -52,6 +52,7 @@ RUN, SHARED = 16, 4
 #: Shingles that two passages of least length and the similarity share.
 COMMON = math.ceil(2 * (MIN_WORDS - SHINGLE + 1) * SIMILARITY / (1 + SIMILARITY) - 1e-9)
 #: A passage of the similarity and of less than twice the least length has no more added or left out shingles than this.
+BITS = 2048
 SHIFT = int(2 * (MIN_WORDS - SHINGLE + 1) * (1 / SIMILARITY - 1)) // 2 + 1
 PIECE = 512 << 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -218,6 +219,15 @@ class _Block:
         run = np.where(over, run ^ (start.astype(np.uint32) + np.uint32(1)) * np.uint32(0xC2B2AE3D), run)
         self.runs = np.where(inside, run | np.uint32(1), np.uint32(0))
         self.key = rows.column("key").to_numpy()
+        # which of BITS values the shingles have, and how many more shingles there are than values
+        self.bits = np.zeros((len(rows), BITS // 64), np.uint64)
+        for lo in range(0, len(rows), 2000):
+            tokens = self.tokens[lo : lo + 2000]
+            flags = np.zeros((len(tokens), BITS), bool)
+            flags[np.arange(len(tokens))[:, None], (tokens * np.uint32(0x9E3779B1)) >> np.uint32(33 - BITS.bit_length())] = True
+            flags[:, 0] = False  # that of 0, no shingle; a shingle of this value is in the excess
+            self.bits[lo : lo + 2000] = np.packbits(flags, axis=1).view(np.uint64)
+        self.excess = self.n - np.bitwise_count(self.bits).sum(1, dtype=np.int64)
 
     def may(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Different texts, and of two blocks one of each."""
@@ -282,15 +292,52 @@ class _Block:
             ok[lo : lo + 2000] = ((x[0] >= SIMILARITY * _LEAST - 0.1) & (x[1] >= -0.1) & long).any(axis=(1, 2))
         return ok
 
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair, whether as many shingles of each may stand in the other as a passage takes: no fewer than are told apart by their bits."""
+        out = np.zeros(len(a), bool)
+        for lo in range(0, len(a), 20_000):
+            p, q = a[lo : lo + 20_000], b[lo : lo + 20_000]
+            out[lo : lo + 20_000] = np.bitwise_count(self.bits[p] & self.bits[q]).sum(1, dtype=np.int64) + np.minimum(self.excess[p], self.excess[q]) >= COMMON
+        return out
+
     def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, tuple, np.ndarray]:
-        """Which pairs hold a passage place by place; the links: window, columns, window, columns, similarity; and the pairs that may hold one with shifted shingles."""
+        """Which pairs hold a passage place by place; the links: window, columns, window, columns, similarity; and the pairs with shingles enough for one at other places."""
+        linked, asked = np.zeros(len(a), bool), np.flatnonzero(self.common(a, b))
+        a, b = a[asked], b[asked]
         found, x, y, similarity = self.aligned(a, b)
-        left = np.flatnonzero(~found)
-        left = left[self.shifted(a[left], b[left])]
-        return found, (a[found], x[found], y[found], b[found], x[found], y[found], similarity[found]), np.stack((a[left], b[left]))
+        linked[asked[found]] = True
+        return linked, (a[found], x[found], y[found], b[found], x[found], y[found], similarity[found]), np.stack((a[~found], b[~found]))
+
+    def unlike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs that surely hold no passage. Where no shingle stands twice in a window and those of both follow one another alike, the shared ones of two stretches are all from one to another,
+        and the stretches are no shorter than what these span: so all such spans are tried."""
+        out = np.zeros(len(a), bool)
+        column, span = np.arange(_WIDTH, dtype=np.int16), _WIDTH - COMMON + 1
+        for lo in range(0, len(a), 500):
+            p, q = self.tokens[a[lo : lo + 500]], self.tokens[b[lo : lo + 500]]
+            plain = np.ones(len(p), bool)
+            for tokens in (p, q):
+                ordered = np.sort(tokens, axis=1)
+                plain &= ~((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] > 0)).any(1)
+            same = (p[:, :, None] == q[:, None, :]) & (p > 0)[:, :, None]
+            shared, place = same.any(2), same.argmax(2).astype(np.int16)
+            reach = np.maximum.accumulate(np.where(shared, place, np.int16(-1)), axis=1)
+            plain &= ~(shared[:, 1:] & (place[:, 1:] <= reach[:, :-1])).any(1)
+            at = np.flatnonzero(plain)
+            shared, place = shared[at], place[at]
+            count = np.cumsum(shared, axis=1, dtype=np.int16)
+            x, y = slice(0, span), slice(_WIDTH - span, _WIDTH)
+            both = count[:, None, y] - count[:, x, None] + np.int16(1)
+            long = np.maximum(column[None, y] - column[x, None] + np.int16(1), np.int16(_LEAST))
+            other = np.maximum(place[:, None, y] - place[:, x, None] + np.int16(1), np.int16(_LEAST))
+            good = (both * np.float32(1 + SIMILARITY) >= (long[None] + other) * np.float32(SIMILARITY) - np.float32(0.01)) & shared[:, None, y] & shared[:, x, None]
+            out[lo + at] = ~good.any(axis=(1, 2))
+        return out
 
     def edited(self, linked: list[tuple], left: np.ndarray) -> list[tuple]:
         """Links of pairs of windows with shifted shingles, of texts that have no link under the min-hash yet."""
+        left = left[:, self.shifted(*left)]
+        left = left[:, ~self.unlike(*left)]
         name = lambda i, j: (int(self.key[i]), min(int(self.rid[i]), int(self.rid[j])), max(int(self.rid[i]), int(self.rid[j])))
         known, out = {name(i, j) for part in linked for i, j in zip(part[0].tolist(), part[3].tolist(), strict=True)}, []
         for i, j in left.T.tolist():
@@ -304,7 +351,7 @@ class _Block:
         return out
 
     def rest(self, lo: int, hi: int, alone: np.ndarray) -> list[tuple]:
-        """Links, and pairs with shifted shingles, of the windows `alone` of one min-hash (lo to hi) with all its others: an index of the runs tells which may hold a passage in common. Of each tree
+        """Links, and pairs that may have shifted shingles, of the windows `alone` of one min-hash (lo to hi) with all its others: an index of the runs tells which may hold a passage in common. Of each tree
         of windows that links join already one window is linked."""
         out, n = [], hi - lo
         owner, column = np.nonzero(self.runs[lo:hi])
@@ -447,14 +494,14 @@ def _passage(a: np.ndarray, b: np.ndarray, length: int) -> tuple[int, int, int,
             exact = start, stop, start, stop, similarity
             if stop - start == len(a):
                 return exact
-    in_b = np.isin(a, b)
+    in_b = (a[:, None] == b).any(1)
     if in_b.sum() < length * SIMILARITY:
         return exact
     for cost in (4, 6, 8):
         a0, a1 = _agreeing(in_b, cost)
         if a1 - a0 < length:
             continue
-        b0, b1 = _agreeing(np.isin(b, a[a0:a1]), cost)
+        b0, b1 = _agreeing((b[:, None] == a[a0:a1]).any(1), cost)
         if b1 - b0 < length:
             continue
         if (similarity := _jaccard(a[a0:a1], b[b0:b1])) >= SIMILARITY:
@@ -474,20 +521,22 @@ def _between(a: np.ndarray, b: np.ndarray, length: int) -> tuple[int, int, int,
     beside = np.concatenate(([False], (step == 1).all(1), [False]))
     best = None
     for x, y in (every.T, every[beside[1:] | beside[:-1]].T):  # once without shingles that stand alone, which may be equal by chance
-        if len(x) * (1 + SIMILARITY) < 2 * SIMILARITY * length - 1e-9:
+        n, least = len(x), math.ceil(2 * SIMILARITY * length / (1 + SIMILARITY) - 1e-9)
+        if n < least:
             continue
-        n = len(x)
-        upper = np.triu(np.ones((n, n), bool))
-        low = np.minimum.accumulate(np.where(upper, y, len(b)), axis=1)
-        high = np.maximum.accumulate(np.where(upper, y, -1), axis=1)
-        long, other = np.maximum(x[None, :] - x[:, None] + 1, length), np.maximum(high - low + 1, length)
-        both = np.arange(n)[None, :] - np.arange(n)[:, None] + 1
-        good = upper & (both * (1 + SIMILARITY) >= SIMILARITY * (long + other) - 1e-9)
+        i, j = np.arange(n - least + 1)[:, None], np.arange(n)  # so many are shared at least, so no span begins later or ends before
+        low = np.minimum.accumulate(np.where(j >= i, y, len(b)), axis=1)[:, least - 1 :]
+        high = np.maximum.accumulate(np.where(j >= i, y, -1), axis=1)[:, least - 1 :]
+        j = j[least - 1 :]
+        long, other = np.maximum(x[j] - x[i] + 1, length), np.maximum(high - low + 1, length)
+        both = j - i + 1
+        good = both * (1 + SIMILARITY) >= SIMILARITY * (long + other) - 1e-9
         if not good.any():
             continue
         score = np.where(good, (long + other) * 256 + both, 0)
-        for k in np.argsort(-score, axis=None)[: min(8, int(good.sum()))].tolist():
-            i, j = divmod(k, n)
+        for _ in range(min(8, int(good.sum()))):
+            i, j = divmod(int(score.argmax()), score.shape[1])
+            score[i, j] = 0
             a0, b0 = min(int(x[i]), len(a) - int(long[i, j])), min(int(low[i, j]), len(b) - int(other[i, j]))
             a1, b1 = a0 + int(long[i, j]), b0 + int(other[i, j])
             if min(a0, b0) >= 0 and (similarity := _jaccard(a[a0:a1], b[b0:b1])) >= SIMILARITY and (best is None or a1 - a0 + b1 - b0 > best[1] - best[0] + best[3] - best[2]):

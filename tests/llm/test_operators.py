@@ -293,6 +293,31 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def join_rows(spark, since):
+    """Rows that the joins of the SQL executions from `since` on made."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    for k in range(since, store.executionsCount()):
+        run = store.executionsList(k, 1).head()
+        made, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes().iterator()
+        while nodes.hasNext():
+            node = nodes.next()
+            metrics = node.metrics().iterator()
+            while "Join" in node.name() and metrics.hasNext():
+                metric = metrics.next()
+                if metric.name() == "number of output rows" and made.contains(metric.accumulatorId()):
+                    total += int(made.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_rounds_of_components_join_fewer_and_fewer_edges(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + j) for i in range(60) for j in range(i)] + [(5000 + 50 * k, 5001 + 50 * k + i) for k in range(10) for i in range(40)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = {r["node"]: r["component"] for r in components(df).collect()}
+    assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(60)} | {5000 + 50 * k + i: 5000 + 50 * k for k in range(10) for i in range(41)}
+    assert 0 < join_rows(spark, since) <= 4 * len(edges)
+
+
 # 6
 
 
@@ -545,6 +570,35 @@ def test_passages_of_one_shingle_unlike_the_first_window_are_linked():
     assert joined(len(records), got) == {frozenset({0}), frozenset({1}), frozenset(range(2, len(records)))}
 
 
+def window_pairs(rng, n):
+    """Windows in pairs, the second with words changed, added, left out, moved or twice; most of the shingles are shared."""
+    w, records = substring_windows, []
+    for k in range(n):
+        cells = rng.integers(1, 60000, w._WIDTH).tolist()
+        other = list(cells)
+        for _ in range(rng.integers(1, 20)):
+            at, size = int(rng.integers(0, w._WIDTH - 8)), int(rng.integers(1, 8))
+            other[at : at + size * int(rng.integers(0, 2))] = rng.integers(1, 60000, int(rng.integers(0, size + 1))).tolist()
+        if k % 11 == 0:
+            other = other[30:60] + other[:30] + other[60:]
+        if k % 13 == 0:
+            other[40:60] = other[20:40]
+        for side, x in enumerate((cells, (other + rng.integers(1, 60000, w._WIDTH).tolist())[: w._WIDTH])):
+            records.append({"key": k, "rid": side, "place": 100, "before": 45, "after": 45, "block": 0, "i": 0, "j": 0, "shingles": np.array(x, np.uint16).tobytes()})
+    return pa.RecordBatch.from_pylist(records)
+
+
+def test_only_pairs_without_a_passage_are_passed_over():
+    w = substring_windows
+    block = w._Block(window_pairs(np.random.default_rng(17), 700))
+    a, b = np.arange(0, 1400, 2), np.arange(1, 1400, 2)
+    passed = w._Block.unlike(block, a, b) | ~block.common(a, b)
+    want = np.array([bool(w._passages(block.tokens[i], block.tokens[j], w._LEAST)) for i, j in zip(a, b, strict=True)])
+    assert want.sum() > 100 and (~want).sum() > 100
+    assert not (passed & want).any()
+    assert (passed & ~want).sum() > 0.5 * (~want).sum()
+
+
 def test_passage_classes(spark, none, odd):
     rng = random.Random(14)
     fresh = lambda n: [f"k{rng.randrange(10**9)}" for _ in range(n)]
